@@ -9,10 +9,14 @@ kernels work on bytes and skip decoding.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A text longer than this is worked on in blocks cut at white space.
@@ -20,8 +24,26 @@ BLOCK_BYTES = 1 << 20
 _ASCII_SPACE = b" \t\n\v\f\r"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per Spark context, so that they can import it.
+
+    Spark's own file server hands the archive to the executors, later ones included.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_millrace_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="millrace")), "millrace_package.zip")
+    with zipfile.ZipFile(archive, "w") as made:
+        for file in sorted(top.rglob("*.py")):
+            made.write(file, file.relative_to(top.parent))
+    context.addPyFile(archive)
+    context._millrace_shipped = True
+
+
 def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, body): the identifier as it is and the text's UTF-8 bytes, null texts as empty."""
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
 
 

@@ -83,11 +83,7 @@ class ChunkCodec:
             self.reused += 1
             return known
         words = piece.split()
-        try:
-            ids = list(map(self.words.ids.__getitem__, words))
-        except KeyError:
-            self.words.learn(words)
-            ids = list(map(self.words.ids.__getitem__, words))
+        ids = list(map(self.words.__getitem__, words))
         self.held += len(piece)
         if self.held > CHUNK_MEMO_BYTES:
             self.memo.clear()

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.bpe_codec import codec_digests
 from millrace.llm.media_gif import gif_features
 from millrace.llm.packing import pack_documents
+from millrace.llm.quality import quality_scores
 from millrace.llm.token_counts import token_counts
+from millrace.llm.warc import ORACLE as WARC_ORACLE
+from millrace.llm.warc import crawl_of, header_text, resolve_revisits
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +27,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digests(_documents(spark, sf_dir))
 
@@ -32,10 +39,15 @@ def op8_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_features(_documents(spark, sf_dir))
 
 
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = resolve_revisits(crawl_of(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return resolved.withColumn("merged_headers", header_text("merged_headers"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_packing, op5_token_counts, op7_bpe_codec, op8_media_gif]
+    found = [op2_packing, op5_token_counts, op6_quality, op7_bpe_codec, op8_media_gif, op10_warc_revisits]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc_revisits": WARC_ORACLE}

@@ -1,97 +1,65 @@
 """Token counts by heap-and-linked-list byte-pair merging.
 
-A pre-token starts as one symbol per character, the last one carrying the
-word-end mark.  The symbols form a doubly linked list; every adjacent pair that
-has a merge rule lies in a heap under (rank, place).  The lowest is popped,
-checked against the list (an older entry may name a symbol that is gone), and
-merged; the two new neighbours are pushed.  The count of a pre-token is its
-initial symbols minus the merges done; identifiers are never looked up.
+The count of a pre-token is its initial symbols minus the merges that
+``PairMerger`` does; no identifier is looked up.  Words and pre-tokens are
+counted once per worker and remembered in bounded memos.
 """
 
 from __future__ import annotations
 
-import heapq
-import json
-import re
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
 from millrace.llm.arrow import blocks, id_and_bytes, map_docs
-from millrace.llm.vocabulary import default_vocabulary, tokenizer
+from millrace.llm.vocabulary import MEMO_PIECES, MEMO_WORDS, SYMBOLS, PairMerger, default_vocabulary, pair_merger, shrink, split_word, tokenizer
 
-#: Words kept by a worker's memo before it is emptied.
-MEMO_WORDS = 700_000
-#: The pre-tokenizer's pattern as it acts on lower-case ASCII, and the words that it may be used for.
-ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-ASCII_WORD = re.compile(rb"[!-~]+")
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
-class PairMerger:
-    """Counts the tokens of words by merging pairs; ``counts`` remembers whole words."""
+class PieceCounts(dict):
+    """pre-token -> tokens."""
+
+    def __init__(self, merger: PairMerger, limit: int):
+        super().__init__()
+        self.merger, self.limit = merger, limit
+
+    def __missing__(self, piece: str) -> int:
+        shrink(self, self.limit)
+        symbols = [SYMBOLS[b] for b in piece.encode()]
+        n = len(symbols) - self.merger.merge(symbols)[1]
+        if len(piece) <= 64:
+            self[piece] = n
+        return n
+
+
+class WordCounts(dict):
+    """word (bytes, without ASCII white space) -> tokens."""
 
     def __init__(self, path: str, limit: int = MEMO_WORDS):
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)
-        self.end = model["model"]["end_of_word_suffix"] or ""
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"])
-        self.ranks = {tuple(pair): rank for rank, pair in enumerate(pairs)}
-        self.special = [x["content"] for x in model["added_tokens"]]
+        super().__init__()
+        self.merger, self.limit = pair_merger(path), limit
+        self.pieces = PieceCounts(self.merger, MEMO_PIECES)
         made = tokenizer(path)
         self.normal, self.split = made.normalizer.normalize_str, made.pre_tokenizer.pre_tokenize_str
-        self.limit, self.counts, self.pre_counts = limit, {}, {}
-
-    def pre_token(self, symbols: str) -> int:
-        """Tokens of one pre-token, given as one character per symbol."""
-        n = len(symbols)
-        if n < 2:
-            return n
-        live = list(symbols)
-        live[-1] += self.end
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        ranks = self.ranks
-        heap = [(r, i, live[i], live[i + 1]) for i in range(n - 1) if (r := ranks.get((live[i], live[i + 1]))) is not None]
-        heapq.heapify(heap)
-        merges = 0
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = right[i]
-            if live[i] != a or j < 0 or live[j] != b:
-                continue
-            live[i], live[j] = a + b, ""
-            right[i] = k = right[j]
-            if k >= 0:
-                left[k] = i
-                if (r := ranks.get((live[i], live[k]))) is not None:
-                    heapq.heappush(heap, (r, i, live[i], live[k]))
-            h = left[i]
-            if h >= 0 and (r := ranks.get((live[h], live[i]))) is not None:
-                heapq.heappush(heap, (r, h, live[h], live[i]))
-            merges += 1
-        return n - merges
-
-    def known(self, piece: str) -> int:
-        """As pre_token, with a memo: words differ in case and punctuation more than pre-tokens do."""
-        n = self.pre_counts.get(piece)
-        if n is None:
-            if len(self.pre_counts) > self.limit:
-                self.pre_counts.clear()
-            n = self.pre_token(piece)
-            if len(piece) <= 64:
-                self.pre_counts[piece] = n
+
+    def __missing__(self, word: bytes) -> int:
+        shrink(self, self.limit)
+        split = split_word(word)
+        n = self.odd(word.decode("utf-8", "replace")) if split is None else sum(map(self.pieces.__getitem__, split))
+        if len(word) <= 256:
+            self[word] = n
         return n
 
-    def word(self, word: bytes) -> int:
-        """Tokens of a word without ASCII white space; a special string inside counts as one token."""
-        if ASCII_WORD.fullmatch(word) and b"<|" not in word:
-            return sum(map(self.known, ASCII_PATTERN.findall(word.decode().lower())))
-        text, total = word.decode("utf-8", "replace"), 0
+    def odd(self, text: str) -> int:
+        """Tokens of a word with other than Latin characters or special strings, each of which is one token."""
+        total = 0
         while text:
-            found = min(((at, -len(s), s) for s in self.special if (at := text.find(s)) >= 0), default=None)
+            found = min(((at, -len(s), s) for s in self.merger.special if (at := text.find(s)) >= 0), default=None)
             plain = text if found is None else text[: found[0]]
-            if plain:
-                total += sum(self.known(piece) for piece, _ in self.split(self.normal(plain)))
+            for piece, _ in self.split(self.normal(plain)) if plain else []:
+                symbols = list(piece)
+                total += len(symbols) - self.merger.merge(symbols)[1]
             if found is None:
                 break
             total += 1
@@ -99,23 +67,14 @@ class PairMerger:
         return total
 
     def count(self, data: bytes) -> int:
-        total = 0
-        for block in blocks(data):
-            words = block.split()
-            try:
-                total += sum(map(self.counts.__getitem__, words))
-            except KeyError:
-                if len(self.counts) > self.limit:
-                    self.counts.clear()
-                for w in set(words) - self.counts.keys():
-                    self.counts[w] = self.word(w)
-                total += sum(map(self.counts.__getitem__, words))
-        return total
+        """Tokens of a text."""
+        return sum(sum(map(self.__getitem__, block.split())) for block in blocks(data))
 
 
 @lru_cache(maxsize=1)
-def pair_merger(path: str) -> PairMerger:
-    return PairMerger(path)
+def word_counts(path: str) -> WordCounts:
+    """The memo of this Python worker."""
+    return WordCounts(path)
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,7 +87,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 20
     path = vocabulary or default_vocabulary()
 
     def row(doc_id: int | None, body: bytes) -> tuple:
-        n = pair_merger(path).count(body)
+        n = word_counts(path).count(body)
         return doc_id, len(body), n, n > limit
 
     return map_docs(id_and_bytes(docs, id_col, text_col), row, SCHEMA, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
