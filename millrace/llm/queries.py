@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.bpe_codec import codec_digests
+from millrace.llm.imatch import edited_likeness
 from millrace.llm.media_gif import gif_features
 from millrace.llm.packing import pack_documents
 from millrace.llm.quality import quality_scores
@@ -39,13 +40,17 @@ def op8_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_features(_documents(spark, sf_dir))
 
 
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(_documents(spark, sf_dir))
+
+
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = resolve_revisits(crawl_of(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     return resolved.withColumn("merged_headers", header_text("merged_headers"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_packing, op5_token_counts, op6_quality, op7_bpe_codec, op8_media_gif, op10_warc_revisits]
+    found = [op2_packing, op5_token_counts, op6_quality, op7_bpe_codec, op8_media_gif, op9_imatch, op10_warc_revisits]
     return {f.__name__: f for f in found}
 
 
