@@ -18,6 +18,7 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 
@@ -146,12 +147,12 @@ class PieceIds(dict):
 
     def __init__(self, path: str, limit: int):
         super().__init__()
-        self.merger, self.vocabulary, self.limit = pair_merger(path), tokenizer(path).get_vocab(with_added_tokens=False), limit
+        self.model, self.limit = tokenizer(path).model, limit
 
     def __missing__(self, piece: str) -> bytes:
         shrink(self, self.limit)
-        symbols, _ = self.merger.merge([SYMBOLS[b] for b in piece.encode()])
-        ids = np.array([self.vocabulary[s] for s in symbols if s], "<u4").tobytes()
+        coded = self.model.tokenize("".join([SYMBOLS[b] for b in piece.encode()]))
+        ids = pack(f"<{len(coded)}I", *[x.id for x in coded])
         if len(piece) <= 64:
             self[piece] = ids
         return ids
