@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.bpe_codec import codec_digests
 from millrace.llm.imatch import edited_likeness
 from millrace.llm.media_gif import gif_features
+from millrace.llm.ngram_join import shingle_components
 from millrace.llm.packing import pack_documents
 from millrace.llm.quality import quality_scores
 from millrace.llm.token_counts import token_counts
@@ -24,6 +25,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_components(_documents(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir))
 
@@ -50,7 +55,7 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_packing, op5_token_counts, op6_quality, op7_bpe_codec, op8_media_gif, op9_imatch, op10_warc_revisits]
+    found = [op2_packing, op3_ngram_join, op5_token_counts, op6_quality, op7_bpe_codec, op8_media_gif, op9_imatch, op10_warc_revisits]
     return {f.__name__: f for f in found}
 
 
