@@ -1,0 +1,145 @@
+import hashlib
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from millrace.llm.bpe_codec import ChunkCodec, chunk_ends, codec_digests, encode_documents
+from millrace.llm.packing import SumOfSquares, pack_documents, pack_pieces
+from millrace.llm.token_counts import WordCounts, token_counts
+from millrace.llm.vocabulary import WordIds, default_vocabulary, tokenizer
+
+ODD = ["", " ", "don't I'LL we'Re 'Tis", "ÀÉ ª²½¼ 12³4 é́ ﬁ İI ıß", "Σίσυφος ΟΔΟΣ σΣ", "日本語 テスト 😀😀👍🏽", "<|endoftext|>x<|startoftext|> <|end of|> a<|b", "\x1c\x1d a\x85b c d", "aͅb ǅ", "x" * 3000, "'" * 99 + "s", "\t\n a \x0b\x0c b", "ab " * 900, "é" * 1500]
+
+
+def library(text):
+    return tokenizer(default_vocabulary()).encode(text, add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return ChunkCodec(default_vocabulary())
+
+
+@pytest.mark.parametrize("text", ODD)
+def test_words_chunks_and_counts_agree_with_the_library(text, codec):
+    want = library(text)
+    data = text.encode()
+    assert np.frombuffer(WordIds(default_vocabulary()).encode(data), "<u4").tolist() == want
+    assert np.frombuffer(codec.encode(data), "<u4").tolist() == want
+    assert WordCounts(default_vocabulary()).count(data) == len(want)
+    assert codec.decode(codec.encode(data)).decode() == tokenizer(default_vocabulary()).decode(want, skip_special_tokens=False)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from(["'s", "'LL", "<|endoftext|>", " ", "é", "don't", "İ", "ſ"])), max_size=40).map("".join))
+def test_any_text(text):
+    text = text.encode("utf-8", "ignore").decode()
+    want = library(text)
+    assert np.frombuffer(WordIds(default_vocabulary()).encode(text.encode()), "<u4").tolist() == want
+    assert WordCounts(default_vocabulary()).count(text.encode()) == len(want)
+
+
+def test_chunks_follow_the_content(codec, corpus):
+    body = " ".join(t for _, t in corpus if t).encode()
+    ends = chunk_ends(body)
+    assert ends[-1] == len(body) and len(ends) > 10 and ends == sorted(set(ends))
+    pieces = {body[a:b] for a, b in zip([0, *ends], ends)}
+    moved = b"another beginning " + body
+    again = chunk_ends(moved)
+    assert len(pieces & {moved[a:b] for a, b in zip([0, *again], again)}) > 0.8 * len(pieces)
+    before = codec.repaired
+    assert np.frombuffer(codec.encode(body), "<u4").tolist() == library(body.decode())
+    assert codec.repaired > before
+    made = codec.made
+    codec.encode(body)
+    assert codec.made == made
+
+
+def test_memos_have_bounds():
+    memo = WordIds(default_vocabulary(), limit=50)
+    for i in range(300):
+        memo.encode(f"longerword{i} a{i}".encode())
+    assert len(memo) <= 51
+
+
+def test_counts_query(docs, rows, no_docs, clashing):
+    want = sorted((i, len((t or "").encode()), len(library(t or "")), len(library(t or "")) > 2048) for i, t in rows)
+    assert sorted(map(tuple, token_counts(docs).collect())) == want
+    assert token_counts(no_docs).collect() == [] and token_counts(clashing).count() == 4
+
+
+def test_codec_queries(docs, rows, no_docs, clashing):
+    def digest(ids):
+        text = tokenizer(default_vocabulary()).decode(ids, skip_special_tokens=False)
+        return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+    assert sorted(map(tuple, codec_digests(docs).collect())) == sorted((i, *digest(library(t or ""))) for i, t in rows)
+    assert {r.doc_id: r.ids for r in encode_documents(docs).collect()} == {i: library(t or "") for i, t in rows}
+    assert codec_digests(no_docs).collect() == [] and codec_digests(clashing).count() == 4
+
+
+def check_packing(found, rows, capacity):
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in found:
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append(r)
+    for i, t in dict(rows).items():
+        copies = sum(1 for k, _ in rows if k == i)
+        ids = [*library(t or ""), 1]
+        own = sorted(pieces[i], key=lambda r: r.start)
+        assert sum(r.length for r in own) == copies * len(ids) and {r.doc_tokens for r in own} == {len(ids)}
+        for r in own:
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+    fills = []
+    for own in sequences.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at and r.length > 0
+            at += r.length
+        assert at <= capacity
+        fills.append(at)
+    return fills
+
+
+def test_packing_query(docs, rows, no_docs, clashing):
+    for capacity in (2048, 64):
+        fills = check_packing(pack_documents(docs, capacity).collect(), rows, capacity)
+        assert sum(f < capacity for f in fills) <= docs.rdd.getNumPartitions()
+    assert pack_documents(no_docs).collect() == [] and pack_documents(clashing).count() == 4
+    with_ids = pack_documents(docs, with_ids=True).collect()
+    assert all(r.length == len(r.ids) for r in with_ids)
+
+
+def brute_choice(packer, size):
+    """The level with the least sum of squares, the fullest among equals, 0 for a new sequence."""
+
+    def cost(h):
+        n = packer.counts.copy()
+        if h:
+            n[h] -= 1
+        if h + size < packer.capacity:
+            n[h + size] += 1
+        return int((n**2).sum())
+
+    levels = [0, *(h for h in range(1, packer.capacity - size + 1) if packer.counts[h])]
+    return min(levels, key=lambda h: (cost(h), -h))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 24), min_size=1, max_size=80))
+def test_sum_of_squares_choice(sizes):
+    packer = SumOfSquares(24)
+    for k, size in enumerate(sizes):
+        assert packer.choose(size) == brute_choice(packer, size)
+        packer.place(size, (k, size))
+        assert packer.counts[1:24].tolist() == [len(x) for x in packer.level[1:24]]
+
+
+def test_pieces_of_long_documents():
+    made = list(pack_pieces(iter([(1, bytes(4 * 100)), (2, bytes(4 * 7)), (3, bytes(4))]), 16, 5))
+    assert sorted(n for s in made for n in {p[4] for p in s}) == list(range(5, 5 + len(made)))
+    assert sum(len(p[2]) for s in made for p in s) == 4 * 108 and sum(sum(len(p[2]) for p in s) < 64 for s in made) <= 1
