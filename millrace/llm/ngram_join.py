@@ -4,7 +4,7 @@ A set is the hashes of a text's distinct shingles.  Under any fixed order of all
 shingles, two sets of n and m elements with a Jaccard similarity of at least 4/5
 share an element among the first n - ceil(4n/5) + 1 of the one and the first
 m - ceil(4m/5) + 1 of the other: their prefixes.  The order is by hash, except
-that shingles found in very many prefixes come last.
+that shingles found in very many texts come last.
 
 Documents with equal sets are one class; classes with equal prefixes and sizes
 are one group.  Groups meet at the prefix shingles that they share; pairs are
@@ -18,7 +18,6 @@ number of trials in proportion to its size.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +32,14 @@ from millrace.llm.shared import cut
 from millrace.llm.shingles import hashed, mixed, rolled
 
 SHINGLE = 5
-#: A shingle is ordered last if it is in at least so many prefixes, as a share of the documents and as a count.
-HOT_SHARE, HOT_LEAST = 1 / 4000, 64
+#: A shingle is ordered last if it is in at least so many texts, as a share of the documents and as a count.
+HOT_SHARE, HOT_LEAST = 1 / 1000, 128
 #: Places of a shingle in a set, and sizes, share a long: size * PLACES + place.
 PLACES = 1 << 31
 #: Bits of the table of candidate identifiers that lets the last pass skip other texts; its size is fixed.
 CANDIDATE_BUCKETS, BUCKET_BITS = 512, 32_768
+#: Shingles that a task counts at once.
+FOLD = 1_000_000
 _NULL_ID = -(1 << 63)
 _EMPTY = np.zeros(0, np.uint64)
 
@@ -53,6 +54,23 @@ def shingle_set(body: bytes, width: int = SHINGLE) -> np.ndarray:
     return np.unique(mixed(rolled(hashed(words), width)))
 
 
+def parity_sketch(found: np.ndarray) -> bytes:
+    """For each of at least 2 * n bits, whether an odd number of the hashes fall on it (the count of bits is a power of 2).
+
+    Two sets' sketches of one size differ in at most as many bits as the sets do
+    in elements, since each element that only one has flips one bit.
+    """
+    bits = 1 << max(6, (2 * len(found) - 1).bit_length())
+    return np.packbits(np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """Bits that differ once the longer sketch is folded to the shorter one's size."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    folded = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ folded).sum())
+
+
 def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1 if n else 0
 
@@ -61,47 +79,54 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    """Arrow lists of 64-bit hashes."""
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
+    flat = np.concatenate(parts) if parts else _EMPTY
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(flat)))
+
+
 def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
 def hot_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles in very many prefixes of the order by hash.
+    """Shingles in very many different texts.
 
-    Tasks count their own prefixes and report what occurs twice or more; the
+    Tasks count in their own texts and report what occurs twice or more; the
     sums needn't be exact, as any set of shingles may be ordered last.  At most
-    2 * (mean prefix length) / HOT_SHARE shingles reach the driver.
+    2 * (mean shingles of a text) / HOT_SHARE shingles reach the driver.
     """
     kinds = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rows = set(), 0
+        seen, held = set(), 0
         waiting: list[np.ndarray] = []
-        total: Counter = Counter()
+        known, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def fold() -> None:
-            nonlocal waiting
-            if waiting:
-                tokens, n = np.unique(np.concatenate(waiting), return_counts=True)
-                several = n > 1
-                total.update(dict(zip(tokens[several].tolist(), n[several].tolist(), strict=True)))
-                waiting = []
+            nonlocal waiting, held, known, times
+            tokens, n = np.unique(np.concatenate(waiting), return_counts=True)
+            both = np.concatenate((known, tokens[n > 1]))
+            known, place = np.unique(both, return_inverse=True)
+            times = np.bincount(place, np.concatenate((times, n[n > 1])), len(known)).astype(np.int64)
+            waiting, held = [], 0
 
         for batch in it:
             for body in batch.column(1):
                 data = body.as_py()
                 key = xxhash.xxh3_128_digest(data)
-                rows += 1
                 if key in seen:
                     continue
                 seen.add(key)
-                found = shingle_set(data)
-                waiting.append(_signed(found[: prefix_length(len(found))]))
-                if len(waiting) == 4096:
+                waiting.append(shingle_set(data))
+                held += len(waiting[-1])
+                if held >= FOLD:
                     fold()
-        fold()
-        if total:
-            yield _batch([list(total), list(total.values())], kinds)
+        if waiting:
+            fold()
+        if len(known):
+            yield _batch([_signed(known), times], kinds)
 
     n = docs.count()
     sums = docs.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -110,29 +135,36 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(doc_id, n, s1, s2, p, cold, hot): set size, 128 bits of the set, 64 of its prefix, and the prefix in order."""
+    """(doc_id, n, s1, s2, p, sketch, cold, hot): set size, 128 bits of the set, 64 of its prefix, its parity sketch, the prefix in order."""
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(hot))
-    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("p", pa.int64()), ("cold", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64()))])
+    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("p", pa.int64()), ("sketch", pa.binary()), ("cold", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64()))])
 
     def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = sent.value
         for batch in it:
-            out: list[list] = [[] for _ in kinds]
-            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            sizes, whole, heads, sketches, colds, warms = [], [], [], [], [], []
+            for body in batch.column(1):
                 found = shingle_set(body.as_py())
                 n = len(found)
-                whole = xxhash.xxh3_128_intdigest(found.tobytes())
-                late = np.isin(found, last) if len(last) else np.zeros(n, bool)
-                cold = found[~late][: prefix_length(n)]
-                warm = found[late][: prefix_length(n) - len(cold)]
-                p = xxhash.xxh3_64_intdigest(cold.tobytes() + b"|" + warm.tobytes())
-                row = (doc_id, n, (whole >> 64) - (1 << 63), (whole & ((1 << 64) - 1)) - (1 << 63), p - (1 << 63), _signed(cold), _signed(warm))
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            if out[0]:
-                yield _batch(out, kinds)
-
-    return docs.mapInArrow(sign, "doc_id long, n long, s1 long, s2 long, p long, cold array<long>, hot array<long>")
+                k = prefix_length(n)
+                if len(last) and n:
+                    late = last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found
+                    cold = found[~late][:k]
+                    warm = found[late][: k - len(cold)]
+                else:
+                    cold, warm = found[:k], _EMPTY
+                sizes.append(n)
+                whole.append(xxhash.xxh3_128_digest(found))
+                heads.append(xxhash.xxh3_64_intdigest(cold.tobytes() + b"|" + warm.tobytes()))
+                sketches.append(parity_sketch(found))
+                colds.append(cold)
+                warms.append(warm)
+            if sizes:
+                both = np.frombuffer(b"".join(whole), np.int64).reshape(-1, 2)
+                p = np.array(heads, np.uint64).view(np.int64)
+                yield _batch([batch.column(0), sizes, both[:, 0], both[:, 1], p, sketches, _lists(colds), _lists(warms)], kinds)
+
+    return docs.mapInArrow(sign, "doc_id long, n long, s1 long, s2 long, p long, sketch binary, cold array<long>, hot array<long>")
 
 
 def _pair_filter(w1: str, w2: str) -> Column:
@@ -155,7 +187,7 @@ def _candidate_table(ids: DataFrame) -> np.ndarray:
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, items): the whole sets of the documents in ``ids``; other texts are skipped before they are split."""
+    """(id, items): the whole sets of at least the documents in ``ids``; most other texts are skipped before they are split."""
     table = _candidate_table(ids)
     sent = docs.sparkSession.sparkContext.broadcast(table)
     kinds = pa.schema([("id", pa.int64()), ("items", pa.list_(pa.int64()))])
@@ -168,13 +200,29 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             wanted = np.flatnonzero((bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1)
             for at in range(0, len(wanted), 2000):
                 part = wanted[at : at + 2000].tolist()
-                yield _batch([[batch.column(0)[i].as_py() for i in part], [_signed(shingle_set(batch.column(1)[i].as_py())) for i in part]], kinds)
+                yield _batch([batch.column(0).take(part), _lists([shingle_set(batch.column(1)[i].as_py()) for i in part])], kinds)
+
+    return placed.mapInArrow(make, "id long, items array<long>")
+
 
-    return placed.mapInArrow(make, "id long, items array<long>").join(ids.hint("shuffle_hash"), "id", "left_semi")
+def _near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, m, x, n, y) -> the pairs (a, b) whose sketches leave room for a similarity of at least 4/5."""
+    for batch in it:
+        m, n = batch.column(2).to_pylist(), batch.column(4).to_pylist()
+        # sets of m and n elements with at least 4/9 (m + n) in common differ in at most so many
+        good = [i for i, (k, x, h, y) in enumerate(zip(m, batch.column(3).to_pylist(), n, batch.column(5).to_pylist(), strict=True)) if sketch_distance(x, y) <= k + h + 2 * (-4 * (k + h) // 9)]
+        yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets have a similarity of at least 4/5."""
+def _linked(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets have a similarity of at least 4/5.
+
+    Parity sketches, which are short, first rule out most of those that don't.
+    """
+    known = signed.select("doc_id", "n", "sketch")
+    met = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x")), "a").join(known.select(F.col("doc_id").alias("b"), "n", F.col("sketch").alias("y")), "b")
+    pairs = cut(met.select("a", "b", "m", "x", "n", "y").mapInArrow(_near, "a long, b long").distinct())
+    sets = _sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     n = F.size("x") + F.size("y")
     return met.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * n).select("a", "b")
@@ -198,7 +246,7 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     several = groups.filter(F.col("classes") > 1)
     members = cut(classes.join(several, ["n", "p"]).select("group", "id", "n").distinct())  # of groups with several classes
 
-    heads = filled.join(groups.hint("shuffle_hash"), (filled.doc_id == groups["group"]) & (filled.n == groups.n) & (filled.p == groups.p)).select("group", filled.n.alias("n"), "cold", "hot").dropDuplicates(["group", "n"])
+    heads = filled.join(groups.hint("shuffle_hash"), (filled.doc_id == groups["group"]) & (filled.n == groups.n) & (filled.p == groups.p)).select("group", filled.n.alias("n"), "cold", "hot")
     packed = F.col("n") * F.lit(PLACES)
     cold = heads.select("group", packed.alias("base"), F.posexplode("cold").alias("place", "token")).select("token", "group", (F.col("base") + F.col("place")).alias("w"))
     warm = heads.filter(F.size("hot") > 0).select("group", (packed + F.size("cold")).alias("base"), F.posexplode("hot").alias("place", "token")).select("token", "group", (F.col("base") + F.col("place")).alias("w"))
@@ -207,39 +255,49 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = F.struct("group", "w")
     cold = cold.withColumn("met", F.count("*").over(here)).filter(F.col("met") > 1).drop("met").withColumn("least", F.min(own).over(here))
     leaders = warm.groupBy("token").agg(F.min(own).alias("least"))  # as many rows as hot shingles, at most
-    meetings = cut(cold.unionByName(warm.join(F.broadcast(leaders), "token")))
+    met = cold.unionByName(warm.join(F.broadcast(leaders), "token"))
+    partner = F.when((F.col("group") != F.col("least.group")) & _pair_filter("w", "least.w"), F.col("least.group"))
+    meetings = cut(met.select("token", "group", "w", partner.alias("partner")))
 
-    tried = meetings.filter((F.col("group") != F.col("least.group")) & _pair_filter("w", "least.w")).select(F.col("least.group").alias("a"), F.col("group").alias("b"))
+    # the first round: everything against the least group of a meeting, and the classes of a group against its least
+    tried = meetings.filter(F.col("partner").isNotNull()).select(F.col("partner").alias("a"), F.col("group").alias("b"))
     inner = members.filter(F.col("group") != F.col("id")).select(F.col("group").alias("a"), F.col("id").alias("b"))
     first = cut(tried.unionByName(inner).distinct())
-
-    ids = cut(meetings.select(F.col("group").alias("id")).unionByName(members.select("id")).distinct())
-    sets = cut(_sets_of(texts, ids))
-    links = cut(_linked(first, sets))
+    links = cut(_linked(first, signed, texts))
     roots = cut(components(links))
 
-    # the second round: whatever meets and isn't connected yet
-    def rooted(rows: DataFrame) -> DataFrame:
-        return rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-    member_roots = rooted(members)
-    mixed_groups = member_roots.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("group")
-    spread = member_roots.join(mixed_groups, "group").select("group", "id", "root")
-    at = meetings.select("token", "group", "w")
-    whole = rooted(at.join(mixed_groups, "group", "left_anti").withColumnRenamed("group", "id")).select("token", "id", "root", "w")
-    parts = at.join(spread, "group").select("token", "id", "root", "w")
-    inside = member_roots.join(mixed_groups, "group").select(F.col("group").alias("token"), "id", "root", (F.col("n") * F.lit(PLACES)).alias("w"), F.lit(True).alias("grouped"))
-    present = whole.unionByName(parts).withColumn("grouped", F.lit(False)).unionByName(inside)
-    torn = present.groupBy("token", "grouped").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token", "grouped")
-    rest = cut(present.join(torn, ["token", "grouped"]))
-    left, right = (rest.select("token", "grouped", F.col("id").alias(i), F.col("root").alias(r), F.col("w").alias(w)) for i, r, w in (("a", "ra", "w1"), ("b", "rb", "w2")))
-    met = left.join(right, (left.token == right.token) & (left.grouped == right.grouped) & (F.col("ra") < F.col("rb")) & _pair_filter("w1", "w2"))
-    second = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = second.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = cut(_linked(second, sets))
-    final = components(links.unionByName(more))
+    # the second round: what meets and isn't connected yet, groups expanded to their classes
+    rooted = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("group", "id", "n", F.coalesce("root", "id").alias("root"))
+    bounds = rooted.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    at = meetings.select("token", "group", "w").join(roots.select(F.col("node").alias("group"), "root"), "group", "left").join(bounds, "group", "left")
+    at = at.select("token", "group", "w", F.coalesce("root", "group").alias("root"), F.coalesce("lo", "root", "group").alias("lo"), F.coalesce("hi", "root", "group").alias("hi"))
+    torn = at.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l <> h").select("token")
+    open_ = at.join(torn, "token").select("token", "group", "w", F.col("root").alias("own"))
+    open_ = open_.join(rooted.drop("n"), "group", "left").select("token", F.coalesce("id", "group").alias("id"), F.coalesce("root", "own").alias("root"), "w", F.lit(False).alias("inner"))
+    split = bounds.filter("lo <> hi").select("group")
+    inside = rooted.join(split, "group").select(F.col("group").alias("token"), "id", "root", (F.col("n") * F.lit(PLACES)).alias("w"), F.lit(True).alias("inner"))
+    rest = cut(open_.unionByName(inside))
+    left = rest.select("token", "inner", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("w").alias("w1"))
+    right = rest.select(F.col("token").alias("token2"), F.col("inner").alias("inner2"), F.col("id").alias("b"), F.col("root").alias("rb"), F.col("w").alias("w2"))
+    across = left.join(right, (F.col("token") == F.col("token2")) & (F.col("inner") == F.col("inner2")) & (F.col("ra") < F.col("rb")) & _pair_filter("w1", "w2"))
+    second = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = cut(second.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    final = components(links.unionByName(_linked(second, signed, texts)))
 
     named = classes.join(final.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", "n", F.coalesce("root", "id").alias("component"))
     named = named.groupBy("s1", "s2", "n").agg(F.min("component").alias("component"))
     done = signed.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
     return done.select(F.nullif("doc_id", F.lit(_NULL_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "doc_id"), F.lit(_NULL_ID)).alias("component_id"))
+
+
+#: The query's rows in DuckDB's SQL.
+ORACLE = r"""
+with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+s as (select doc_id, unnest(list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) x from d),
+n as (select doc_id, count(*) n from s group by doc_id),
+c as (select a.doc_id p, b.doc_id q, count(*) c from s a join s b on a.x = b.x and a.doc_id < b.doc_id group by all),
+l as (select p, q from c join n a on a.doc_id = p join n b on b.doc_id = q where 100 * c >= 80 * (a.n + b.n - c)),
+e as (select p, q from l union select q, p from l),
+r as (select doc_id, doc_id o from documents union select e.q, r.o from r join e on e.p = r.doc_id)
+select d.doc_id, coalesce(n.n, 0) n_shingles, (select min(o) from r where r.doc_id = d.doc_id) component_id from d left join n on n.doc_id = d.doc_id
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.bpe_codec import codec_digests
 from millrace.llm.imatch import edited_likeness
 from millrace.llm.media_gif import gif_features
+from millrace.llm.ngram_join import ORACLE as JOIN_ORACLE
 from millrace.llm.ngram_join import shingle_components
 from millrace.llm.packing import pack_documents
 from millrace.llm.quality import quality_scores
@@ -74,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": SUBSTRING_ORACLE, "op4_suffix_dedup": SUFFIX_ORACLE, "op10_warc_revisits": WARC_ORACLE}
+    return {"op1_substring_dedup": SUBSTRING_ORACLE, "op3_ngram_join": JOIN_ORACLE, "op4_suffix_dedup": SUFFIX_ORACLE, "op10_warc_revisits": WARC_ORACLE}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,13 @@ def checkpoint_folder(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared folder, so that a lost executor costs no recomputation of it."""
+    """``df`` computed once and written to the shared folder, so that a lost executor costs no recomputation of it.
+
+    The shuffle files that led to it aren't needed then; Spark deletes them when
+    the driver's JVM collects what refers to them, which is asked for here.
+    """
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    made = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return made

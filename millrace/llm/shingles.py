@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Words kept by a worker's memo before it is emptied.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 #: The base of the rolling hash (odd, so that it has an inverse modulo 2**64).
 BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
