@@ -25,7 +25,7 @@ LEAST_SHARE, MOST_SHARE = 0.005, 0.1
 #: Documents with fewer lexicon terms than this keep all their terms.
 LEAST_TERMS = 6
 #: Subsets of each size, and the sizes: one in so many terms (powers of 2), read from bits of the term's hash.
-SUBSETS, SIZES = 8, (8, 32, 128, 512)
+SUBSETS, SIZES = 16, (16, 64, 256)
 #: Rows of a range of identifiers in which neighbours are found, and the most ranges.
 RANGE_ROWS, RANGES = 2_000, 4_096
 _NULL_ID = -(1 << 63)
