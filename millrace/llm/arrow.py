@@ -9,6 +9,7 @@ kernels work on bytes and skip decoding.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -41,6 +42,22 @@ def ship(spark: SparkSession) -> None:
     context._millrace_shipped = True
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def worker_memo(key: tuple, make: Callable[[], object]) -> object:
+    """The memo of this Python worker for ``key``.
+
+    A worker holds one at a time: it outlives tasks, and a later stage that needs
+    another kind shouldn't find its memory taken by an earlier one's.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, body): the identifier as it is and the text's UTF-8 bytes, null texts as empty."""
     ship(docs.sparkSession)

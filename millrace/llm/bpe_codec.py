@@ -17,8 +17,8 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from millrace.llm.arrow import blocks, id_and_bytes, map_docs
-from millrace.llm.vocabulary import default_vocabulary, tokenizer, word_memo
+from millrace.llm.arrow import blocks, id_and_bytes, map_docs, worker_memo
+from millrace.llm.vocabulary import WordIds, default_vocabulary, tokenizer
 
 #: Bytes that the rolling hash sees; mean and least bytes of a chunk.
 ROLL_BYTES, MEAN_CHUNK, LEAST_CHUNK = 16, 1024, 64
@@ -68,7 +68,7 @@ class ChunkCodec:
     """Encodes texts chunk by chunk; ``memo`` maps a chunk to its words and the ids of each."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.words = tokenizer(path), word_memo(path)
+        self.tokenizer, self.words = tokenizer(path), WordIds(path)
         self.memo: dict[bytes, tuple[list[bytes], list[bytes]]] = {}
         self.held = self.reused = self.made = self.repaired = self.widened = 0
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -135,9 +135,9 @@ class ChunkCodec:
         return b" ".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=1)
 def chunk_codec(path: str) -> ChunkCodec:
-    return ChunkCodec(path)
+    """The codec of this Python worker."""
+    return worker_memo(("codec", path), lambda: ChunkCodec(path))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

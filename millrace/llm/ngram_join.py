@@ -9,7 +9,8 @@ that shingles found in very many texts come last.
 Documents with equal sets are one class; classes with equal prefixes and sizes
 are one group.  Groups meet at the prefix shingles that they share; pairs are
 filtered by size and by the shingle's places, expanded to classes and verified
-on whole sets.  A meeting place is not expanded into all its pairs at once:
+on whole sets, after short parity sketches of the sets have ruled out most pairs
+that are no links and none that are.  A meeting place is not expanded into all its pairs at once:
 first every group is tried against the least group there; links make
 components; then only pairs across components are tried.  So every link
 between different components is found, and a large cluster of copies costs a
@@ -285,7 +286,8 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     final = components(links.unionByName(_linked(second, signed, texts)))
 
     named = classes.join(final.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", "n", F.coalesce("root", "id").alias("component"))
-    named = named.groupBy("s1", "s2", "n").agg(F.min("component").alias("component"))
+    # written, so that the join's two sides are plain exchanges and Spark can split one with very many copies of a text
+    named = cut(named.groupBy("s1", "s2", "n").agg(F.min("component").alias("component")))
     done = signed.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
     return done.select(F.nullif("doc_id", F.lit(_NULL_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "doc_id"), F.lit(_NULL_ID)).alias("component_id"))
 

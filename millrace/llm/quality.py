@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import blocks, ship
+from millrace.llm.arrow import blocks, ship, worker_memo
 
 BUCKETS, DIM = 1 << 18, 8
 #: Lengths of character n-grams; words longer than LONG_WORD have those of their two ends only.
@@ -32,7 +32,7 @@ SAME_PAIR = 0
 #: At most so many labelled rows are learned from: those with the least hashed identifiers.
 SAMPLE, EPOCHS, RATE = 3000, 8, 0.4
 THRESHOLD = 0.3
-MEMO_WORDS = 400_000
+MEMO_WORDS, TRAINING_WORDS = 400_000, 100_000
 
 
 class Words:
@@ -83,11 +83,20 @@ def pair_buckets(hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-def features(data: bytes, memo: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+class WordBuckets(dict):
+    """word -> its buckets, for training; emptied when it is full, as the driver's memory is small."""
+
+    def __missing__(self, word: bytes) -> np.ndarray:
+        if len(self) >= TRAINING_WORDS:
+            self.clear()
+        self[word] = found = np.array(Words.buckets(word), np.int32)
+        return found
+
+
+def features(data: bytes, memo: WordBuckets) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and how often each occurs."""
     words = data.split()
-    found = [memo[w] if w in memo else memo.setdefault(w, Words.buckets(w)) for w in words]
-    single = np.fromiter((b for x in found for b in x), np.int64)
+    single = np.concatenate([memo[w] for w in words]) if words else np.zeros(0, np.int32)
     pairs = pair_buckets(np.fromiter((zlib.crc32(w, 7) for w in words), np.uint64, len(words))) if len(words) > 1 else single[:0]
     return np.unique(np.concatenate([single, pairs]), return_counts=True)
 
@@ -101,10 +110,7 @@ class Model:
 
     def scorer(self) -> Scorer:
         """This worker's scorer for the model; the one of an earlier model is dropped."""
-        if self.key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[self.key] = Scorer(self)
-        return _SCORERS[self.key]
+        return worker_memo(("quality", self.key), lambda: Scorer(self))
 
 
 class Scorer:
@@ -123,9 +129,6 @@ class Scorer:
         return float(1 / (1 + np.exp(-z)))
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = 6) -> Model:
     """Fit vectors and softmax by SGD, one document a step, the rate falling to 0.
 
@@ -136,7 +139,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, rate: flo
     prior = float(np.log(share / (1 - share)))
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), prior)
-    rng, memo = np.random.default_rng(seed), {}
+    rng, memo = np.random.default_rng(seed), WordBuckets()
     docs = []
     for text in texts:
         buckets, counts = features(text, memo)

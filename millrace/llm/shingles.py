@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import xxhash
 
+from millrace.llm.arrow import worker_memo
+
 #: Words kept by a worker's memo before it is emptied.
 MEMO_WORDS = 300_000
 #: The base of the rolling hash (odd, so that it has an inverse modulo 2**64).
@@ -26,10 +26,9 @@ class WordHashes(dict):
         return value
 
 
-@lru_cache(maxsize=1)
 def word_hashes() -> WordHashes:
     """The memo of this Python worker."""
-    return WordHashes()
+    return worker_memo(("hashes",), WordHashes)
 
 
 def hashed(words: list[bytes]) -> np.ndarray:

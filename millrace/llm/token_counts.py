@@ -7,11 +7,9 @@ counted once per worker and remembered in bounded memos.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame
 
-from millrace.llm.arrow import blocks, id_and_bytes, map_docs
+from millrace.llm.arrow import blocks, id_and_bytes, map_docs, worker_memo
 from millrace.llm.vocabulary import MEMO_PIECES, MEMO_WORDS, SYMBOLS, PairMerger, default_vocabulary, pair_merger, shrink, split_word, tokenizer
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -71,10 +69,9 @@ class WordCounts(dict):
         return sum(sum(map(self.__getitem__, block.split())) for block in blocks(data))
 
 
-@lru_cache(maxsize=1)
 def word_counts(path: str) -> WordCounts:
     """The memo of this Python worker."""
-    return WordCounts(path)
+    return worker_memo(("counts", path), lambda: WordCounts(path))
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ from struct import pack
 
 import numpy as np
 
-from millrace.llm.arrow import blocks
+from millrace.llm.arrow import blocks, worker_memo
 
 #: Entries kept by the memo of words and by that of pre-tokens.
 MEMO_WORDS, MEMO_PIECES = 800_000, 400_000
@@ -183,7 +183,6 @@ class WordIds(dict):
         return b"".join(b"".join(map(self.__getitem__, block.split())) for block in blocks(data))
 
 
-@lru_cache(maxsize=1)
 def word_memo(path: str) -> WordIds:
     """The memo of this Python worker."""
-    return WordIds(path)
+    return worker_memo(("ids", path), lambda: WordIds(path))

@@ -34,7 +34,7 @@ def test_labels_of_held_out_rows_are_never_learned(spark):
 def test_scores_by_whole_features(spark):
     model = quality.Model(np.random.default_rng(0).normal(size=quality.BUCKETS), 0.1)
     for text in (b"", b"a", "one twö one one".encode(), b"x" * 200, b"word " * 300):
-        buckets, counts = quality.features(text, {})
+        buckets, counts = quality.features(text, quality.WordBuckets())
         z = 0.1 + (float((model.weights[buckets] * counts).sum() / counts.sum()) if len(counts) else 0)
         assert quality.Scorer(model).score(text) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
 
