@@ -32,7 +32,7 @@ SAME_PAIR = 0
 #: At most so many labelled rows are learned from: those with the least hashed identifiers.
 SAMPLE, EPOCHS, RATE = 3000, 8, 0.4
 THRESHOLD = 0.3
-MEMO_WORDS, TRAINING_WORDS = 400_000, 100_000
+MEMO_WORDS, TRAINING_WORDS = 300_000, 100_000
 
 
 class Words:

@@ -25,7 +25,7 @@ import numpy as np
 from millrace.llm.arrow import blocks, worker_memo
 
 #: Entries kept by the memo of words and by that of pre-tokens.
-MEMO_WORDS, MEMO_PIECES = 800_000, 400_000
+MEMO_WORDS, MEMO_PIECES = 600_000, 300_000
 #: Words up to so many bytes stay when a memo is full.
 SHORT = 7
 #: Characters that this module splits itself: NFC and lower case leave them in one piece.
