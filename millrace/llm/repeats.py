@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.arrow import ship
-from millrace.llm.shared import cut
+from millrace.llm.shared import cut, release
 
 #: Occurrences of a key that may meet in one task.
 KEY_ROWS = 2_000
@@ -103,7 +103,8 @@ def candidates(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``tag`` tells texts under one identifier apart; ``spread`` is the number of
     tasks that a key's occurrences are dealt out to.
     """
-    classes = keyed.groupBy("k1", "k2").agg(F.min("rid").alias("first"), F.count("*").alias("copies"))
+    # written, so that joins with it are between plain exchanges, which Spark can split where a text has very many copies
+    classes = cut(keyed.groupBy("k1", "k2").agg(F.min("rid").alias("first"), F.count("*").alias("copies")))
     known = keyed.select("rid", "k1", "k2").join(classes, ["k1", "k2"])
     copied = known.filter(F.col("copies") > 1).select("rid", _tag().alias("tag")).distinct()
     heads = classes.select(F.col("first").alias("rid"), "k1", "k2")
@@ -152,6 +153,7 @@ def repeated(
     keyed = cut(text_keys(texts, grams))
     wanted, copied = candidates(keyed)
     wanted = cut(wanted)
+    release(docs.sparkSession)  # the keys' shuffles aren't needed beside those of the texts
 
     # one exchange of the whole texts, by identifier; both uses below read it
     dealt = texts.withColumn("tag", _tag()).repartition("rid")

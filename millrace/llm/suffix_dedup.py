@@ -29,7 +29,7 @@ from millrace.llm.shingles import mixed, rolled
 #: Bytes of a window, and of the grams whose least hash is its key.
 WINDOW, GRAM = 200, 32
 #: Bytes of text in a batch, and in the family before it is emptied at the next key.
-BATCH_BYTES, FAMILY_BYTES = 1 << 17, 1 << 20
+BATCH_BYTES, FAMILY_BYTES = 1 << 16, 1 << 19
 #: Bytes of a text that are hashed at once.
 BLOCK = 1 << 21
 _RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, starts array<long>, ends array<long>"
