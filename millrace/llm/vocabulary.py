@@ -28,7 +28,7 @@ from millrace.llm.arrow import blocks, worker_memo
 MEMO_WORDS, MEMO_PIECES = 600_000, 300_000
 #: Words up to so many bytes stay when a memo is full.
 SHORT = 7
-#: Characters that this module splits itself: NFC and lower case leave them in one piece.
+#: Characters below this are split here, if their lower case is one character below it, too; NFC leaves them as they are.
 LATIN_END = 0x250
 #: The contractions of the pre-tokenizer's pattern, tried before letters.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -56,8 +56,9 @@ def _class_of(kind: str) -> str:
 
 
 def _plain_pattern() -> re.Pattern:
-    """Words of Latin characters other than spaces, controls and the dotted capital I, whose lower case is two characters."""
-    odd = "".join(re.escape(chr(c)) for c in range(33, LATIN_END) if c != 0x130 and unicodedata.category(chr(c))[0] not in "CZ")
+    """Words of Latin characters other than spaces and controls, each with a lower case of one character that PIECES knows."""
+    known = [chr(c) for c in range(33, LATIN_END) if unicodedata.category(chr(c))[0] not in "CZ"]
+    odd = "".join(re.escape(c) for c in known if len(c.lower()) == 1 and ord(c.lower()) < LATIN_END)
     return re.compile(f"[{odd}]+")
 
 

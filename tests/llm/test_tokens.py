@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from millrace.llm.bpe_codec import ChunkCodec, chunk_ends, codec_digests, encode_documents
 from millrace.llm.packing import SumOfSquares, pack_documents, pack_pieces
 from millrace.llm.token_counts import WordCounts, token_counts
-from millrace.llm.vocabulary import WordIds, default_vocabulary, tokenizer
+from millrace.llm.vocabulary import LATIN_END, WordIds, default_vocabulary, split_word, tokenizer
 
 ODD = ["", " ", "don't I'LL we'Re 'Tis", "ÀÉ ª²½¼ 12³4 é́ ﬁ İI ıß", "Σίσυφος ΟΔΟΣ σΣ", "日本語 テスト 😀😀👍🏽", "<|endoftext|>x<|startoftext|> <|end of|> a<|b", "\x1c\x1d a\x85b c d", "aͅb ǅ", "x" * 3000, "'" * 99 + "s", "\t\n a \x0b\x0c b", "ab " * 900, "é" * 1500]
 
@@ -43,6 +43,20 @@ def test_any_text(text):
     assert WordCounts(default_vocabulary()).count(text.encode()) == len(want)
 
 
+def test_every_latin_character_inside_words(codec):
+    words = "Əli Əsas AZƏRBAYCAN MƏKTƏB Ɗan Ɓarawo ƐFIƐ".split()
+    for c in map(chr, range(33, LATIN_END)):
+        words += [w for w in (c, f"a{c}b", f"A{c}{c}B", f"{c}ab", f"ab{c}", f"1{c}2", f"!{c}?", f"'{c}", f"x'{c}") if w.encode().split() == [w.encode()]]
+    ids, counts = WordIds(default_vocabulary()), WordCounts(default_vocabulary())
+    for word in words:
+        want = library(word)
+        assert np.frombuffer(ids[word.encode()], "<u4").tolist() == want, word
+        assert counts[word.encode()] == len(want), word
+    text = " ".join(words)
+    assert np.frombuffer(codec.encode(text.encode()), "<u4").tolist() == library(text)
+    assert split_word("Éa'll".encode()) == ["éa", "'ll"] and split_word("Əli".encode()) is None
+
+
 def test_chunks_follow_the_content(codec, corpus):
     body = " ".join(t for _, t in corpus if t).encode()
     ends = chunk_ends(body)
