@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by similarity: the one with the least identifier.
 
-    Rows without an identifier are no group and all stay.
+    Rows without an identifier all stay; those with one in their group are reduced all the same.
     """
     groups = shingle_components(docs)
     gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()

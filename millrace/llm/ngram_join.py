@@ -41,7 +41,6 @@ PLACES = 1 << 31
 CANDIDATE_BUCKETS, BUCKET_BITS = 512, 32_768
 #: Shingles that a task counts at once.
 FOLD = 1_000_000
-_NULL_ID = -(1 << 63)
 _EMPTY = np.zeros(0, np.uint64)
 
 
@@ -136,9 +135,9 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(doc_id, n, s1, s2, p, sketch, cold, hot): set size, 128 bits of the set, 64 of its prefix, its parity sketch, the prefix in order."""
+    """(doc_id, named, n, s1, s2, p, sketch, cold, hot): set size, 128 bits of the set, 64 of its prefix, its parity sketch, the prefix in order."""
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(hot))
-    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("p", pa.int64()), ("sketch", pa.binary()), ("cold", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64()))])
+    kinds = pa.schema([("doc_id", pa.int64()), ("named", pa.bool_()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("p", pa.int64()), ("sketch", pa.binary()), ("cold", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64()))])
 
     def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = sent.value
@@ -163,9 +162,9 @@ def signatures(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             if sizes:
                 both = np.frombuffer(b"".join(whole), np.int64).reshape(-1, 2)
                 p = np.array(heads, np.uint64).view(np.int64)
-                yield _batch([batch.column(0), sizes, both[:, 0], both[:, 1], p, sketches, _lists(colds), _lists(warms)], kinds)
+                yield _batch([batch.column(0), batch.column(2), sizes, both[:, 0], both[:, 1], p, sketches, _lists(colds), _lists(warms)], kinds)
 
-    return docs.mapInArrow(sign, "doc_id long, n long, s1 long, s2 long, p long, sketch binary, cold array<long>, hot array<long>")
+    return docs.mapInArrow(sign, "doc_id long, named boolean, n long, s1 long, s2 long, p long, sketch binary, cold array<long>, hot array<long>")
 
 
 def _pair_filter(w1: str, w2: str) -> Column:
@@ -192,7 +191,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     table = _candidate_table(ids)
     sent = docs.sparkSession.sparkContext.broadcast(table)
     kinds = pa.schema([("id", pa.int64()), ("items", pa.list_(pa.int64()))])
-    placed = docs.withColumn("x", F.pmod(F.xxhash64("doc_id"), F.lit(CANDIDATE_BUCKETS * BUCKET_BITS)))
+    placed = docs.select("doc_id", "body", F.pmod(F.xxhash64("doc_id"), F.lit(CANDIDATE_BUCKETS * BUCKET_BITS)).alias("x"))
 
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
@@ -215,20 +214,31 @@ def _near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
 
 
-def _linked(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, signed: DataFrame, docs: DataFrame, repeats: bool) -> DataFrame:
     """The pairs (a, b) whose whole sets have a similarity of at least 4/5.
 
     Parity sketches, which are short, first rule out most of those that don't.
+    ``repeats``: many rows may have one key, so their equal sets are reduced to one.
     """
     known = signed.select("doc_id", "n", "sketch")
     met = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x")), "a").join(known.select(F.col("doc_id").alias("b"), "n", F.col("sketch").alias("y")), "b")
     pairs = cut(met.select("a", "b", "m", "x", "n", "y").mapInArrow(_near, "a long, b long").distinct())
     sets = _sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
+    if repeats:
+        sets = sets.distinct()
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     n = F.size("x") + F.size("y")
     return met.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * n).select("a", "b")
 
 
+def _by_identifier(named: DataFrame, final: DataFrame, keys: DataFrame) -> DataFrame:
+    """``named`` with the least identifier in place of a component that is one of ``keys``, which stand for texts without one; null if there is none."""
+    roots = keys.withColumnRenamed("id", "root")
+    own = final.join(roots, "root", "left_semi").join(keys.withColumnRenamed("id", "node"), "node", "left_anti").groupBy("root").agg(F.min("node").alias("least"))
+    turned = roots.join(own, "root", "left").withColumn("key", F.lit(True))
+    return named.join(turned, named.component == turned.root, "left").select("s1", "s2", "n", F.when(F.col("key"), F.col("least")).otherwise(F.col("component")).alias("component"))
+
+
 def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``.
 
@@ -236,13 +246,17 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     5-word shingles (words between ASCII white space, A-Z in lower case).  A text
     with fewer than 5 words is one shingle, if it has words; null, empty and blank
     texts are linked with nothing.  component_id is the least doc_id that links
-    reach.  Rows with one identifier count as linked; so do those with a null one,
-    whose component is null.  An empty table gives no rows.
+    reach, null if they reach none.  Rows with one identifier count as linked;
+    those with a null one are linked by their texts only.  An empty table gives no
+    rows.
     """
-    texts = id_and_bytes(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID)))
+    # a row without an identifier goes by a hash of its text, and so together with exact copies only
+    texts = id_and_bytes(docs, id_col, text_col).select(F.coalesce("doc_id", F.xxhash64("body")).alias("doc_id"), "body", F.col("doc_id").isNotNull().alias("named"))
     signed = cut(signatures(texts, hot_shingles(texts)))
-    filled = signed.filter(F.col("n") > 0)
-    classes = cut(filled.groupBy("s1", "s2", "n", "p").agg(F.min("doc_id").alias("id")))
+    nulls = not signed.filter("not named").isEmpty()
+    once = cut(signed.filter("named").union(signed.filter("not named").dropDuplicates(["doc_id"]))) if nulls else signed
+    filled = once.filter(F.col("n") > 0)
+    classes = cut(filled.groupBy("s1", "s2", "n", "p").agg(F.coalesce(F.min(F.when(F.col("named"), F.col("doc_id"))), F.min("doc_id")).alias("id"), F.max("named").alias("named")))
     groups = classes.groupBy("n", "p").agg(F.min("id").alias("group"), F.count("*").alias("classes"))
     several = groups.filter(F.col("classes") > 1)
     members = cut(classes.join(several, ["n", "p"]).select("group", "id", "n").distinct())  # of groups with several classes
@@ -264,7 +278,7 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tried = meetings.filter(F.col("partner").isNotNull()).select(F.col("partner").alias("a"), F.col("group").alias("b"))
     inner = members.filter(F.col("group") != F.col("id")).select(F.col("group").alias("a"), F.col("id").alias("b"))
     first = cut(tried.unionByName(inner).distinct())
-    links = cut(_linked(first, signed, texts))
+    links = cut(_linked(first, once, texts, nulls))
     roots = cut(components(links))
 
     # the second round: what meets and isn't connected yet, groups expanded to their classes
@@ -283,13 +297,16 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     across = left.join(right, (F.col("token") == F.col("token2")) & (F.col("inner") == F.col("inner2")) & (F.col("ra") < F.col("rb")) & _pair_filter("w1", "w2"))
     second = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = cut(second.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    final = components(links.unionByName(_linked(second, signed, texts)))
+    final = components(links.unionByName(_linked(second, once, texts, nulls)))
 
     named = classes.join(final.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", "n", F.coalesce("root", "id").alias("component"))
     # written, so that the join's two sides are plain exchanges and Spark can split one with very many copies of a text
     named = cut(named.groupBy("s1", "s2", "n").agg(F.min("component").alias("component")))
-    done = signed.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
-    return done.select(F.nullif("doc_id", F.lit(_NULL_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "doc_id"), F.lit(_NULL_ID)).alias("component_id"))
+    if nulls:
+        named = cut(_by_identifier(named, final, classes.filter("not named").select("id")))
+    done = signed.select("doc_id", F.col("named").alias("own"), "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
+    doc_id = F.when(F.col("own"), F.col("doc_id"))
+    return done.select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(doc_id).alias("component_id"))
 
 
 #: The query's rows in DuckDB's SQL.

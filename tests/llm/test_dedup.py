@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from millrace.llm import ngram_join, repeats, substring_dedup, suffix_dedup
 from millrace.llm.components import components
 from millrace.llm.ngram_join import prefix_length, shingle_components, shingle_set
@@ -192,6 +193,26 @@ def test_join_odd_tables(no_docs, clashing):
     assert (4, 8, 4) in got and (None, 0, None) in got and len(got) == 4
 
 
+def test_rows_without_identifiers(spark):
+    """They are linked by their texts alone, and a component with one has the least identifier of the others."""
+    rng = random.Random(11)
+    base = [[f"w{k}_{i}" for i in range(60)] for k in range(4)]
+
+    def near(k):
+        made = list(base[k])
+        made[rng.choice([0, 59])] = f"n{rng.random()}"
+        return " ".join(made)
+
+    rows = [(10 * k + i, near(k)) for k in (1, 2) for i in range(5)]
+    rows += [(None, near(k)) for k in (1, 2, 3) for _ in range(3)] + [(None, " ".join(base[1]))] * 4 + [(None, " ".join(base[2]).upper()), (None, ""), (None, None), (7, ""), (-(1 << 63), "one"), (50, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter((i, 10 if "w1_5 " in t.lower() else 20) for i, t in rows if t and ("w1_5 " in t.lower() or "w2_5 " in t.lower()))
+    want += Counter({(None, None): 5, (7, 7): 1, (-(1 << 63), -(1 << 63)): 1, (50, 50): 1})
+    assert Counter((r.doc_id, r.component_id) for r in shingle_components(docs).collect()) == want
+    kept = Counter(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept == Counter({None: 16, 10: 1, 20: 1, 7: 1, -(1 << 63): 1, 50: 1})
+
+
 def test_prefixes_and_sets():
     for n in range(1, 300):
         assert prefix_length(n) == n - next(k for k in range(n + 1) if 5 * k >= 4 * n) + 1
