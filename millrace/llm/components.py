@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from millrace.llm.shared import cut
 
-#: More than the logarithm of any number of nodes; the loop ends at a fixed point.
-ROUNDS = 60
-
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over edges (u, v) with u > v."""
@@ -33,11 +30,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b) that isn't its component's least; others are their own root.
 
-    Self loops and repeated edges don't matter; no edges give no rows.
+    Self loops and repeated edges don't matter; no edges give no rows.  The steps
+    are repeated until they change nothing.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(F.col("u") > F.col("v")).distinct())
     seal = None
-    for _ in range(ROUNDS):
+    while True:
         last = seal
         seal = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seal == last or seal[0] == 0:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from millrace.llm import components as stars
 from millrace.llm import ngram_join, repeats, substring_dedup, suffix_dedup
 from millrace.llm.components import components
 from millrace.llm.ngram_join import prefix_length, shingle_components, shingle_set
@@ -248,3 +249,9 @@ def test_components(spark):
     want = {(k, find(k)) for k in list(root) if find(k) != k}
     assert {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_components_have_no_bound_of_rounds(spark, monkeypatch):
+    monkeypatch.setattr(stars, "ROUNDS", 2, raising=False)
+    edges = [((7 * i) % 101, (7 * i + 7) % 101) for i in range(100)]
+    assert {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == {(k, 0) for k in range(1, 101)}
