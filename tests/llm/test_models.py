@@ -1,11 +1,12 @@
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from millrace.llm import imatch, quality
+from millrace.llm import arrow, imatch, quality
 from millrace.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.01"
@@ -31,12 +32,126 @@ def test_labels_of_held_out_rows_are_never_learned(spark):
     assert a.key == b.key
 
 
-def test_scores_by_whole_features(spark):
+def plain_features(text):
+    """Every feature of a text, one by one: n-grams of marked words, words, and pairs of neighbours."""
+    found, words = Counter(), text.split()
+    for w in words:
+        marked = b"<" + w + b">"
+        found[zlib.crc32(w, 1) % quality.BUCKETS] += 1
+        for n in (2, 3, 4):
+            for i in range(len(marked) - n + 1):
+                value = (n << 8 * n) | int.from_bytes(marked[i : i + n], "big")
+                found[(value * 0x9E3779B97F4A7C15 % 2**64) >> 46] += 1
+    for a, b in zip(words, words[1:], strict=False):
+        x, y = zlib.crc32(a, 7), zlib.crc32(b, 7)
+        mixed = (x * 0x9E3779B97F4A7C15 + y * 0xC2B2AE3D27D4EB4F) % 2**64
+        found[0 if x == y else (mixed >> 31) % quality.BUCKETS] += 1
+    return dict(found)
+
+
+LONG = [
+    b"",
+    b"a",
+    "one tw\u00f6 one one".encode(),
+    b"x" * 200,
+    b"word " * 300,
+    b" ".join(b"%d" % (i * i) for i in range(30_000)),
+    b"ab " + np.random.default_rng(1).integers(97, 123, 90_000, np.uint8).tobytes() + b" c",
+]
+
+
+def test_features_are_those_of_the_whole_text(monkeypatch):
+    monkeypatch.setattr(quality, "SLICE", 1000)
+    monkeypatch.setattr(quality, "blocks", lambda data: arrow.blocks(data, 5000))
     model = quality.Model(np.random.default_rng(0).normal(size=quality.BUCKETS), 0.1)
-    for text in (b"", b"a", "one twö one one".encode(), b"x" * 200, b"word " * 300):
-        buckets, counts = quality.features(text, quality.WordBuckets())
-        z = 0.1 + (float((model.weights[buckets] * counts).sum() / counts.sum()) if len(counts) else 0)
-        assert quality.Scorer(model).score(text) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+    scorer = quality.Scorer(model)
+    for text in LONG:
+        want = plain_features(text)
+        buckets, counts = quality.features(text)
+        assert dict(zip(buckets.tolist(), counts.tolist(), strict=True)) == want
+        z = 0.1 + (sum(model.weights[b] * n for b, n in want.items()) / sum(want.values()) if want else 0)
+        assert scorer.score(text) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-12)
+
+
+def test_very_long_texts_and_words():
+    rng = np.random.default_rng(2)
+    model = quality.Model(rng.normal(size=quality.BUCKETS), 0.1)
+    words = b" ".join(b"w%d" % v for v in rng.integers(0, 5000, 600_000))
+    one = rng.integers(97, 123, 1 << 20, np.uint8).tobytes()
+    assert len(words) > 3 << 20
+    for text in (words, one):
+        buckets, counts = quality.features(text)
+        n = len(text.split())
+        assert counts.sum() == sum(3 * len(w) for w in text.split()) + n + n - 1
+        z = 0.1 + float((model.weights[buckets] * counts).sum() / counts.sum())
+        assert quality.Scorer(model).score(text) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+    # two texts without blanks that differ in the middle only
+    other = one[:1000] + bytes(reversed(one[1000:-1000])) + one[-1000:]
+    assert quality.Scorer(model).score(one) != quality.Scorer(model).score(other)
+    a, b = (dict(zip(*(x.tolist() for x in quality.features(t)), strict=True)) for t in (one, other))
+    assert sum(min(n, b.get(k, 0)) for k, n in a.items()) < 0.95 * sum(a.values())
+
+
+def test_scores_dont_depend_on_what_came_before():
+    model = quality.Model(np.random.default_rng(3).normal(size=quality.BUCKETS), 0.1)
+    texts = [b"some words here " * 50, b"z" * 700 + b" words", b"here some"]
+    fresh = [quality.Scorer(model).score(t) for t in texts]
+    scorer = quality.Scorer(model)
+    assert [scorer.score(t) for t in reversed(texts)] == fresh[::-1]
+
+
+def test_memo_has_bounds(monkeypatch):
+    monkeypatch.setattr(quality, "MEMO_BYTES", 4000)
+    scorer = quality.Scorer(quality.Model(np.ones(quality.BUCKETS), 0))
+    for i in range(50):
+        scorer.score(b"%d " % i + b"y" * 1000 + b"%d" % i)
+        assert scorer.words.held <= 4000 + 1100
+
+
+def test_training_against_plain_loops():
+    """The same steps, written out feature by feature on dictionaries."""
+    texts = [b"good nice words", b"bad junk junk", b"nice good day", b"junk ### bad"]
+    labels, epochs, rate = [1, 0, 1, 0], 2, 0.4
+    model = quality.train(texts, labels, epochs, rate, 6)
+    rng = np.random.default_rng(6)
+    start = rng.uniform(-1 / 8, 1 / 8, (quality.BUCKETS, 8)).astype(np.float32)
+    vectors, out, bias = {}, [[0.0, 0.0] for _ in range(8)], [0.0, 0.0]
+    done, steps = 0, epochs * len(texts)
+    for _ in range(epochs):
+        for i in rng.permutation(len(texts)):
+            found = plain_features(texts[i])
+            n, r = sum(found.values()), rate * (1 - done / steps)
+            done += 1
+            for k in found:
+                vectors.setdefault(k, [float(x) for x in start[k]])
+            hidden = [sum(vectors[k][d] * c / n for k, c in found.items()) for d in range(8)]
+            z = [sum(hidden[d] * out[d][j] for d in range(8)) + bias[j] for j in (0, 1)]
+            p = [float(np.exp(x) / (np.exp(z[0]) + np.exp(z[1]))) for x in z]
+            error = [p[j] - (labels[i] == j) for j in (0, 1)]
+            back = [sum(out[d][j] * error[j] for j in (0, 1)) for d in range(8)]
+            for j in (0, 1):
+                bias[j] -= 0.1 * r * error[j]
+                for d in range(8):
+                    out[d][j] -= r * hidden[d] * error[j]
+            for k, c in found.items():
+                share = min(c / n, 4 / len(found))
+                vectors[k] = [v - r * len(found) * 0.5 * share * back[d] for d, v in enumerate(vectors[k])]
+    for k, v in vectors.items():
+        assert model.weights[k] == pytest.approx(sum(v[d] * (out[d][1] - out[d][0]) for d in range(8)), abs=1e-5)
+    assert model.bias == pytest.approx(bias[1] - bias[0], abs=1e-5)
+
+
+def test_the_sample_has_bounds(spark, monkeypatch):
+    """Repeats of a labelled row count once; the bounds of rows and bytes hold; every row is scored."""
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels: seen.append(texts) or quality.Model(np.zeros(quality.BUCKETS), 0))
+    docs = spark.createDataFrame([(i % 40, f"text {i % 80} " + "x" * 90) for i in range(800)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2, "doc_id long, quality int")
+    quality.fit(docs, labels)
+    quality.fit(docs, labels, 10)
+    quality.fit(docs, labels, 3000, 1000)
+    kept = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    assert len(seen[0]) == 2 * len(kept) == len(set(seen[0])) and len(seen[1]) == 10 and 0 < sum(map(len, seen[2])) <= 1000
 
 
 def test_classifier_odd_tables(spark, no_docs, clashing, docs):
