@@ -32,11 +32,10 @@ from pyspark.sql import functions as F
 from millrace.llm.arrow import ship
 from millrace.llm.shared import cut, release
 
-#: Occurrences of a key that may meet in one task.
-KEY_ROWS = 2_000
+#: Runs under one key that may meet in one task, and the most windows of a run: a longer one is cut into several.
+KEY_ROWS, RUN_WINDOWS = 1_000, 256
 #: A place in a text and 31 bits of the text's hash share a long.
 PLACES = 1 << 32
-_NULL_ID = -(1 << 63)
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -58,39 +57,54 @@ def run_starts(keys: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
 
 
-def salts(rid: int, spread: np.ndarray) -> np.ndarray:
-    """The part that a text's runs go to under keys dealt out to ``spread`` tasks; -1 for a key with one."""
-    part = (rid * 0x9E3779B97F4A7C15 >> 33 & 0x7FFFFFFF) % np.maximum(spread.astype(np.int64), 1)
-    return np.where(spread > 1, part, -1).astype(np.int32)
+def run_bounds(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of neighbouring windows with one key, none of more than ``most`` windows."""
+    starts = run_starts(keys)
+    sizes = np.diff(np.append(starts, len(keys)))
+    if (sizes > most).any():
+        parts = -(-sizes // most)
+        nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        starts = np.repeat(starts, parts) + nth * most
+    return starts, np.append(starts[1:], len(keys)) if len(starts) else starts
+
+
+def salts(rid: int, starts: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """The part that each of a text's runs goes to under a key dealt out to ``spread`` tasks; -1 for a key with one."""
+    own = (starts.astype(np.uint64) + np.uint64(rid & ((1 << 64) - 1))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+    return np.where(spread > 1, own.astype(np.int64) % np.maximum(spread.astype(np.int64), 1), -1).astype(np.int32)
 
 
 def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with rid (the identifier, nulls as the least long), k1 and k2 (128 bits of the text) and body (its bytes)."""
+    """``docs`` with rid (the identifier; without one, a hash of the text), k1 and k2 (128 bits of the text) and body (its bytes).
+
+    Rows without an identifier are so dealt out by their texts.  Where a text's
+    rid is that of others, by identifier or by hash, its tag tells them apart.
+    """
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns({"rid": F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)), "k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text), "body": text.cast("binary")})
+    return docs.withColumns({"rid": F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit(2), text)), "k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text), "body": text.cast("binary")})
 
 
 def text_keys(texts: DataFrame, grams: Callable[[bytes], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(rid, k1, k2, keys, several): the distinct keys of each text, and how many of their grams occur in it (2 for more).
+    """(rid, k1, k2, keys, several): the distinct keys of each text, and how often each occurs in it: 2 at least if its gram does, else its runs.
 
     ``grams`` gives a text's gram hashes and its windows' keys.
     """
-    kinds = pa.schema([("rid", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("keys", pa.list_(pa.int64())), ("several", pa.list_(pa.int8()))])
+    kinds = pa.schema([("rid", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("keys", pa.list_(pa.int64())), ("several", pa.list_(pa.int32()))])
 
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             found, several = [], []
             for body in batch.column(3):
                 gram, key = grams(body.as_py())
-                keys = np.unique(key[run_starts(key)])
+                keys, runs = np.unique(key[run_bounds(key, RUN_WINDOWS)[0]], return_counts=True)
                 at = np.searchsorted(keys, gram)
                 hit = (at < len(keys)) & (keys[np.minimum(at, max(0, len(keys) - 1))] == gram) if len(keys) else np.zeros(len(gram), bool)
-                several.append(np.minimum(np.bincount(at[hit], minlength=len(keys)), 2).astype(np.int8))
+                several.append(np.maximum(np.minimum(np.bincount(at[hit], minlength=len(keys)), 2), runs).astype(np.int32))
                 found.append(keys.view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, kinds.types[3]), pa.array(several, kinds.types[4])], schema=kinds)
 
-    return texts.select("rid", "k1", "k2", "body").mapInArrow(make, "rid long, k1 long, k2 long, keys array<long>, several array<byte>")
+    return texts.select("rid", "k1", "k2", "body").mapInArrow(make, "rid long, k1 long, k2 long, keys array<long>, several array<int>")
 
 
 def _tag(k1: str = "k1"):
@@ -115,12 +129,9 @@ def candidates(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return met.groupBy("rid", "tag").agg(F.collect_list("key").alias("keys"), F.collect_list("spread").alias("spread")), copied
 
 
-def own_marks(tag: int, told: list | None) -> np.ndarray:
-    """The places with this tag among told marks."""
-    if told is None or not len(told):
-        return np.zeros(0, np.int64)
-    marks = np.asarray(told, np.int64)
-    return np.sort(marks[marks // PLACES == tag // PLACES] % PLACES)
+def places(told: list | None) -> np.ndarray:
+    """The sorted places of told marks, which are all of one tag."""
+    return np.zeros(0, np.int64) if told is None else np.sort(np.asarray(told, np.int64) % PLACES)
 
 
 def covered(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
@@ -138,14 +149,15 @@ def spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeated(
     docs: DataFrame,
     grams: Callable[[bytes], tuple[np.ndarray, np.ndarray]],
-    runs: Callable[[DataFrame], DataFrame],
+    runs: Callable[[DataFrame, int], DataFrame],
     marks: Callable[[DataFrame], DataFrame],
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``docs`` with rid, k1, body, tag, copied (whether the whole text has copies) and told (marked window starts and tags).
+    """``docs`` with rid, k1, body, tag, copied (whether the whole text has copies) and told (marked window starts with the tag added).
 
-    ``runs`` turns (rid, tag, body, keys, spread) into rows that meet by key;
+    ``runs`` turns (rid, tag, body, keys, spread), and about how many runs they
+    give, into rows that meet by key;
     ``marks`` turns those into (rid, at), repeated windows, or (rid, at, past),
     runs of them; the latter give a column told_past as well.
     """
@@ -153,16 +165,24 @@ def repeated(
     keyed = cut(text_keys(texts, grams))
     wanted, copied = candidates(keyed)
     wanted = cut(wanted)
+    total = wanted.agg(F.sum(F.size("keys"))).first()[0] or 0
     release(docs.sparkSession)  # the keys' shuffles aren't needed beside those of the texts
 
-    # one exchange of the whole texts, by identifier; both uses below read it
-    dealt = texts.withColumn("tag", _tag()).repartition("rid")
-    here = dealt.select("rid", "tag", "body").join(wanted.select("rid", F.col("tag").alias("told_tag"), "keys", "spread").hint("shuffle_hash"), "rid")
-    here = here.filter(F.col("tag").bitwiseXOR(F.col("told_tag")) == 0).drop("told_tag")
-    marked = marks(runs(here))
+    # one exchange of the whole texts, by identifier and tag; both uses below read it
+    dealt = texts.withColumn("tag", _tag()).repartition("rid", "tag")
+    here = dealt.select("rid", "tag", "body").join(wanted.hint("shuffle_hash"), ["rid", "tag"])
+    marked = marks(runs(here, total)).withColumn("tag", F.col("at").bitwiseAND(F.lit(-PLACES)))
     lists = {"told": "at", "told_past": "past"}
-    found = marked.groupBy("rid").agg(*(F.collect_list(c).alias(n) for n, c in lists.items() if c in marked.columns))
-    flags = copied.groupBy("rid").agg(F.collect_set("tag").alias("copied_tags"))
-    told = found.join(flags, "rid", "full")
-    out = dealt.join(told.hint("shuffle_hash"), "rid", "left")
-    return out.withColumn("copied", F.coalesce(F.array_contains("copied_tags", F.col("tag")), F.lit(False))).drop("copied_tags", "k2")
+    found = marked.groupBy("rid", "tag").agg(*(F.collect_list(c).alias(n) for n, c in lists.items() if c in marked.columns))
+    told = found.join(copied.withColumn("copied", F.lit(True)), ["rid", "tag"], "full")
+    out = dealt.join(told.hint("shuffle_hash"), ["rid", "tag"], "left")
+    return out.withColumn("copied", F.coalesce("copied", F.lit(False))).drop("k2")
+
+
+def fresh_rows(seen: set, rids: list, tags: list) -> list[bool]:
+    """Whether each row is the first of its text and identifier in a task: rows that repeat one whole would only say the same again."""
+    out = []
+    for at in zip(rids, tags, strict=True):
+        out.append(at not in seen)
+        seen.add(at)
+    return out

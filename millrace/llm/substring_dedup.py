@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.repeats import covered, own_marks, repeated, run_starts, salts, sliding_least, spans
+from millrace.llm.repeats import RUN_WINDOWS, covered, fresh_rows, places, repeated, run_bounds, salts, sliding_least, spans
 from millrace.llm.shingles import hashed, mixed, rolled
 
 #: Words of a window, and of the grams whose least hash is its key.
@@ -39,14 +39,17 @@ def word_grams(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _grams(hashed(words))
 
 
-def _runs(texts: DataFrame) -> DataFrame:
+def _runs(texts: DataFrame, total: int) -> DataFrame:
     """(key, salt, rid, at, hashes): neighbouring windows with one repeated key and their Rabin-Karp hashes."""
     kinds = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("rid", pa.int64()), ("at", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in it:
-            for rid, tag, body, keys, spread in zip(*(c for c in batch.columns), strict=True):
-                rid, tag = rid.as_py(), tag.as_py()
+            rids, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for rid, tag, fresh, body, keys, spread in zip(rids, tags, fresh_rows(seen, rids, tags), *batch.columns[2:], strict=True):
+                if not fresh:
+                    continue
                 values = hashed(body.as_py().split())
                 if len(values) < WINDOW:
                     continue
@@ -56,13 +59,13 @@ def _runs(texts: DataFrame) -> DataFrame:
                 key = _grams(values)[1]
                 place = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
                 good = wanted[place] == key
-                starts = run_starts(key)
+                starts = run_bounds(key, RUN_WINDOWS)[0]
                 starts = starts[good[starts]]
                 if not len(starts):
                     continue
                 h = mixed(rolled(values, WINDOW))[good].view(np.int64)
                 offsets = np.concatenate((np.cumsum(good)[starts] - 1, [len(h)])).astype(np.int32)
-                salt = salts(rid, parts[place[starts]])
+                salt = salts(rid, starts, parts[place[starts]])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key[starts].view(np.int64)), pa.array(salt), pa.array(np.full(len(starts), rid)), pa.array(starts + tag), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h))],
                     schema=kinds,
@@ -86,25 +89,25 @@ def _marks(runs: DataFrame) -> DataFrame:
     return counted.filter(F.col("n") > 1).select("rid", "at").union(second.filter((F.col("parts") > 1) & (F.col("n") == 1)).select("rid", "at"))
 
 
-def _remove(body: Column, tag: Column, copied: Column, told: Column, keep: bool) -> Column:
+def _remove(body: Column, copied: Column, told: Column, keep: bool) -> Column:
     @F.pandas_udf(_RESULT)
     def removed(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for bodies, tags, flags, lists in parts:
+        for bodies, flags, lists in parts:
             rows = []
-            for data, own, whole, marks in zip(bodies, tags, flags, lists, strict=True):
+            for data, whole, marks in zip(bodies, flags, lists, strict=True):
                 words = data.split()
                 n = len(words)
                 if whole:
                     mask = np.full(n, n >= WINDOW)
                 else:
-                    starts = own_marks(own, marks)
+                    starts = places(marks)
                     mask = covered(starts, starts + WINDOW, n)
                 kept = b" ".join([w for w, gone in zip(words, mask.tolist(), strict=True) if not gone] if mask.any() else words)
                 a, b = spans(mask)
                 rows.append((n, int(mask.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if keep else None, a.tolist(), b.tolist()))
             yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "kept", "starts", "ends"])
 
-    return removed(body, tag, copied, told)
+    return removed(body, copied, told)
 
 
 def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
@@ -113,13 +116,15 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Words are what stands between ASCII white space.  A word is removed if a
     window of 35 words that covers it also starts anywhere else; all windows are
     judged on the input.  Null and empty texts have no words; a repeated row is
-    one more copy of its text.  Columns of ``docs`` other than the two named
-    are passed through.
+    one more copy of its text; null identifiers stay null, and their rows are
+    judged by their texts like any other.  Texts of any length are read whole; an
+    empty table gives no rows.  Columns of ``docs`` other than the two named are
+    passed through, whatever they are called.
     """
     fresh = {c: f"in_{i}" for i, c in enumerate(docs.columns)}  # so that no column clashes with the operator's own
     inner = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in fresh.items()))
     made = repeated(inner, word_grams, _runs, _marks, fresh[id_col], fresh[text_col])
-    made = made.select(*fresh.values(), _remove(F.col("body"), F.col("tag"), F.col("copied"), F.col("told"), keep).alias("removed"))
+    made = made.select(*fresh.values(), _remove(F.col("body"), F.col("copied"), F.col("told"), keep).alias("removed"))
     return made.select(*(F.col(n).alias(c) for c, n in fresh.items()), "removed")
 
 

@@ -1,14 +1,19 @@
 """Suffix-array dedup of byte strings: a logarithmic family of suffix arrays.
 
 Windows of WINDOW bytes that may repeat meet by their key (see ``repeats``), as
-runs of neighbouring windows with their bytes.  A task reads its runs key by key
-and feeds them, in batches, to an ``IndexFamily``.  A new batch gets a suffix
-array over its windows' starts (suffixes compared by their first WINDOW bytes,
-more never matters); it is scanned against the existing levels for matches that
-long; then it becomes a level, and two levels of one size are merged, so n
-batches make at most log2(n) + 1 levels.  Equal runs are one entry with a count.
-Windows under different keys differ, so the family is emptied between keys once
-it is large, and its memory is bounded.
+runs of neighbouring windows with their bytes.  Keys are dealt out to groups; a
+task reads the runs of a group in the order of the documents and feeds them, in
+batches, to the group's ``IndexFamily``.  A new batch is scanned against the
+existing levels: a run that a level holds whole is a match of all its windows;
+the others get a suffix array over their windows' starts (suffixes compared by
+their first WINDOW bytes, more never matters), which is merge-scanned against
+each level for matches that long.  Then it becomes a level, and two levels of one
+size are merged, so n batches make at most log2(n) + 1 levels.
+
+A family lives as long as its group, across all documents; windows of different
+groups differ.  Groups hold about GROUP_RUNS runs, which bounds a family's
+memory; a key with more runs than KEY_ROWS is dealt out over several groups,
+whose windows meet once more by their hashes.
 """
 
 from __future__ import annotations
@@ -23,15 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.repeats import covered, own_marks, repeated, run_starts, salts, sliding_least, spans
+from millrace.llm.repeats import RUN_WINDOWS, covered, fresh_rows, places, repeated, run_bounds, salts, sliding_least, spans
 from millrace.llm.shingles import mixed, rolled
 
 #: Bytes of a window, and of the grams whose least hash is its key.
 WINDOW, GRAM = 200, 32
-#: Bytes of text in a batch, and in the family before it is emptied at the next key.
-BATCH_BYTES, FAMILY_BYTES = 1 << 16, 1 << 19
-#: Bytes of a text that are hashed at once.
-BLOCK = 1 << 21
+#: Bytes of runs in a batch, and about how many runs make a group of keys.
+BATCH_BYTES, GROUP_RUNS = 1 << 15, 1_000
+#: Bytes of a text that are hashed at once, and runs of a text sent at once.
+BLOCK, PIECES = 1 << 21, 10_000
 _RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, starts array<long>, ends array<long>"
 
 
@@ -46,21 +51,27 @@ def byte_grams(body: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class SuffixArray:
-    """Windows of a text in the order of their bytes: ``rows`` (sorted), ``owners`` and whether each occurs again."""
+    """Windows in the order of their bytes: ``rows`` (sorted), ``owners`` (entry << 32 | step) and whether each occurs again; ``whole``: run -> its entry."""
 
-    def __init__(self, rows: np.ndarray, owners: np.ndarray, again: np.ndarray):
-        self.rows, self.owners, self.again = rows, owners, again
+    def __init__(self, rows: np.ndarray, owners: np.ndarray, again: np.ndarray, whole: dict[bytes, int]):
+        self.rows, self.owners, self.again, self.whole = rows, owners, again, whole
 
     @classmethod
-    def of(cls, text: np.ndarray, starts: np.ndarray, owners: np.ndarray, several: np.ndarray) -> SuffixArray:
-        """Sort the windows of ``text`` at ``starts``; equal neighbours occur again, and so do those of ``several``."""
+    def of(cls, whole: dict[bytes, int]) -> SuffixArray:
+        """Sort the windows of different runs; equal neighbours occur again."""
+        sizes = np.fromiter(map(len, whole), np.int64, len(whole))
+        n = sizes - WINDOW + 1
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        owners = np.repeat(np.fromiter(whole.values(), np.int64, len(whole)), n) * (1 << 32) + step
+        starts = np.repeat(np.cumsum(sizes) - sizes, n) + step
+        text = np.frombuffer(b"".join(whole), np.uint8)
         rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, WINDOW)[starts]).view(f"S{WINDOW}").ravel()
         order = np.argsort(rows, kind="stable")
-        rows, again = rows[order], several[order].copy()
-        same = rows[1:] == rows[:-1]
+        rows = rows[order]
+        again, same = np.zeros(len(rows), bool), rows[1:] == rows[:-1]
         again[1:] |= same
         again[:-1] |= same
-        return cls(rows, owners[order], again)
+        return cls(rows, owners[order], again, whole)
 
     def scan(self, new: SuffixArray) -> np.ndarray:
         """Mark, in both, the windows that occur in both; returns where the new ones go among the old."""
@@ -69,10 +80,10 @@ class SuffixArray:
         hit = inside & (self.rows[np.minimum(at, len(self.rows) - 1)] == new.rows)
         new.again |= hit
         if hit.any():
-            self.again[at[hit]] = True  # the first of its equals; the others were marked when they met
-            first = np.flatnonzero(np.concatenate(([True], self.rows[1:] != self.rows[:-1])))
-            group = np.searchsorted(first, np.arange(len(self.rows)), side="right") - 1
-            marked = np.zeros(len(first), bool)
+            # all equals of the first one found, up to the end of their run in the order
+            first = np.concatenate(([True], self.rows[1:] != self.rows[:-1]))
+            group = np.cumsum(first) - 1
+            marked = np.zeros(group[-1] + 1, bool)
             marked[group[at[hit]]] = True
             self.again |= marked[group]
         return at
@@ -84,22 +95,46 @@ class SuffixArray:
         made = [np.empty(len(mine), x.dtype) for x in (self.rows, self.owners, self.again)]
         for out, a, b in zip(made, (self.rows, self.owners, self.again), (other.rows, other.owners, other.again), strict=True):
             out[mine], out[~mine] = a, b
-        return SuffixArray(*made)
+        return SuffixArray(*made, self.whole | other.whole)
 
 
 class IndexFamily:
-    """Levels of suffix arrays: ``levels[k]`` is None or holds 2**k batches."""
+    """Levels of suffix arrays: ``levels[k]`` is None or what 2**k batches brought.
+
+    ``places[e]`` lists where the run with entry e stands; ``by_batch`` and
+    ``by_levels`` count the windows marked inside their batch and by levels.
+    """
 
     def __init__(self) -> None:
         self.levels: list[SuffixArray | None] = []
-        self.bytes = 0
-
-    def add(self, text: np.ndarray, starts: np.ndarray, owners: np.ndarray, several: np.ndarray) -> None:
-        new = SuffixArray.of(text, starts, owners, several)
-        self.bytes += len(text)
+        self.places: list[list[tuple[int, int]]] = []
+        self.by_batch = self.by_levels = 0
+
+    def _held(self, piece: bytes) -> int | None:
+        return next((e for level in self.levels if level is not None and (e := level.whole.get(piece)) is not None), None)
+
+    def add(self, batch: list[tuple[bytes, tuple[int, int]]]) -> None:
+        """Scan a batch of (run, place) against the levels and make a level of what is new."""
+        fresh: dict[bytes, int] = {}
+        for piece, place in batch:
+            entry = self._held(piece)
+            if entry is not None:
+                self.by_levels += len(piece) - WINDOW + 1
+            elif (entry := fresh.get(piece)) is not None:
+                self.by_batch += len(piece) - WINDOW + 1
+            else:
+                entry = fresh[piece] = len(self.places)
+                self.places.append([])
+            self.places[entry].append(place)
+        if not fresh:
+            return
+        new = SuffixArray.of(fresh)
+        inside = int(new.again.sum())
         for level in self.levels:
             if level is not None:
                 level.scan(new)
+        self.by_batch += inside
+        self.by_levels += int(new.again.sum()) - inside
         k = 0
         while k < len(self.levels) and self.levels[k] is not None:
             new, self.levels[k] = self.levels[k].merge(new), None
@@ -108,82 +143,50 @@ class IndexFamily:
             self.levels.append(None)
         self.levels[k] = new
 
-    def marked(self) -> np.ndarray:
-        """Owners of the windows that occur again."""
-        found = [x.owners[x.again] for x in self.levels if x is not None]
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+    def marked(self) -> tuple[np.ndarray, np.ndarray]:
+        """(rid, at) of the windows that occur again."""
+        counts = np.fromiter(map(len, self.places), np.int64, len(self.places))
+        found = [x.owners[x.again | (counts[x.owners >> 32] > 1)] for x in self.levels if x is not None]
+        owners = np.concatenate(found) if found else np.zeros(0, np.int64)
+        which, step = owners >> 32, owners & ((1 << 32) - 1)
+        flat = np.array([x for places in self.places for x in places], np.int64).reshape(-1, 2)
+        times = counts[which]
+        index = np.repeat((np.cumsum(counts) - counts)[which], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        return flat[index, 0], flat[index, 1] + np.repeat(step, times)
 
 
-def _runs(texts: DataFrame) -> DataFrame:
-    """(key, salt, rid, at, piece): neighbouring windows with one repeated key, as the bytes that they cover."""
+def _runs(texts: DataFrame, total: int) -> DataFrame:
+    """(group, key, salt, rid, at, piece): neighbouring windows with one repeated key, as the bytes that they cover."""
     kinds = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("rid", pa.int64()), ("at", pa.int64()), ("piece", pa.binary())])
 
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in it:
-            for rid, tag, body, keys, spread in zip(*batch.columns, strict=True):
-                rid, tag, data = rid.as_py(), tag.as_py(), body.as_py()
+            rids, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for rid, tag, fresh, body, keys, spread in zip(rids, tags, fresh_rows(seen, rids, tags), *batch.columns[2:], strict=True):
+                if not fresh:
+                    continue
+                data = body.as_py()
                 key = byte_grams(data)[1]
                 if not len(key):
                     continue
                 wanted = np.asarray(keys.values, np.int64).view(np.uint64)
                 order = np.argsort(wanted)
                 wanted, parts = wanted[order], np.asarray(spread.values, np.int32)[order]
-                starts = run_starts(key)
-                ends = np.concatenate((starts[1:], [len(key)]))
+                starts, ends = run_bounds(key, RUN_WINDOWS)
                 place = np.minimum(np.searchsorted(wanted, key[starts]), len(wanted) - 1)
                 good = wanted[place] == key[starts]
                 starts, ends, place = starts[good], ends[good], place[good]
-                if len(starts):
-                    pieces = [data[a : b + WINDOW - 1] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[starts].view(np.int64)), pa.array(salts(rid, parts[place])), pa.array(np.full(len(starts), rid)), pa.array(starts + tag), pa.array(pieces, pa.binary())], schema=kinds)
+                for i in range(0, len(starts), PIECES):
+                    first, past, which = starts[i : i + PIECES], ends[i : i + PIECES], place[i : i + PIECES]
+                    pieces = [data[a : b + WINDOW - 1] for a, b in zip(first.tolist(), past.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(salts(rid, first, parts[which])), pa.array(np.full(len(first), rid)), pa.array(first + tag), pa.array(pieces, pa.binary())], schema=kinds)
 
     made = texts.select("rid", "tag", "body", "keys", "spread").mapInArrow(make, "key long, salt int, rid long, at long, piece binary")
-    return made.repartition("key", "salt")
-
-
-class _Meeting:
-    """Runs of some keys: equal ones are one entry; the rest go through the index family."""
-
-    def __init__(self) -> None:
-        self.family, self.rows, self.batch, self.held = IndexFamily(), [], [], 0
-        self.entries: dict[bytes, list] = {}
-
-    def close_key(self) -> None:
-        """All runs of one key are there: entries that stand alone among runs of their key can repeat only inside themselves."""
-        for piece, rows in self.entries.items():
-            self.batch.append((piece, rows))
-            self.held += len(piece)
-            if self.held >= BATCH_BYTES:
-                self.flush()
-        self.entries = {}
-
-    def flush(self) -> None:
-        if not self.batch:
-            return
-        base = len(self.rows)
-        pieces = [p for p, _ in self.batch]
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        n = sizes - WINDOW + 1
-        which = np.repeat(np.arange(len(pieces)), n)
-        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        starts = (np.cumsum(sizes) - sizes)[which] + step
-        several = np.fromiter((len(r) > 1 for _, r in self.batch), bool, len(pieces))[which]
-        self.family.add(np.frombuffer(b"".join(pieces), np.uint8), starts, (which + base) * (1 << 32) + step, several)
-        self.rows += [r for _, r in self.batch]
-        self.batch, self.held = [], 0
-
-    def finish(self) -> tuple[np.ndarray, np.ndarray]:
-        """(rid, at) of the repeated windows; the meeting is empty then."""
-        self.flush()
-        owners = self.family.marked()
-        which, step = owners >> 32, owners & ((1 << 32) - 1)
-        counts = np.fromiter(map(len, self.rows), np.int64, len(self.rows))
-        flat = np.array([x for r in self.rows for x in r], np.int64).reshape(-1, 2)
-        first = np.cumsum(counts) - counts
-        times = counts[which]
-        index = np.repeat(first[which], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-        self.__init__()
-        return flat[index, 0], flat[index, 1] + np.repeat(step, times)
+    groups = max(1, -(-total // GROUP_RUNS))
+    # a key that is dealt out has a group for each part
+    group = F.when(F.col("salt") < 0, F.pmod(F.col("key"), F.lit(groups).cast("long"))).otherwise(F.xxhash64("key", "salt"))
+    return made.select(group.alias("group"), "key", "salt", "rid", "at", "piece").repartition("group")
 
 
 def _spans_of(rid: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -197,21 +200,22 @@ def _spans_of(rid: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 
 def _met(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted runs -> (rid, at, past): spans of starts of repeated windows."""
+    """Runs sorted by group, then by document -> (rid, at, past): spans of starts of repeated windows."""
     names = ["rid", "at", "past"]
-    meeting, last = _Meeting(), None
+    family, last, waiting, held = IndexFamily(), None, [], 0
     for batch in it:
-        key, salt, rid, at = (c.to_numpy() for c in batch.columns[:4])
-        for i, piece in enumerate(batch.column(4)):
-            now = (key[i], salt[i])
-            if now != last:
-                meeting.close_key()
-                if meeting.family.bytes + meeting.held >= FAMILY_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in _spans_of(*meeting.finish())], names)
-                last = now
-            meeting.entries.setdefault(piece.as_py(), []).append((rid[i], at[i]))
-    meeting.close_key()
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in _spans_of(*meeting.finish())], names)
+        group, rid, at = (c.to_pylist() for c in batch.columns[:3])
+        for i, piece in enumerate(batch.column(3).to_pylist()):
+            if group[i] != last or held >= BATCH_BYTES:
+                family.add(waiting)
+                waiting, held = [], 0
+            if group[i] != last:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _spans_of(*family.marked())], names)
+                family, last = IndexFamily(), group[i]
+            waiting.append((piece, (rid[i], at[i])))
+            held += len(piece)
+    family.add(waiting)
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in _spans_of(*family.marked())], names)
 
 
 def _windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,8 +223,6 @@ def _windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         for i, piece in enumerate(batch.column(4)):
             key, salt, rid, at = (batch.column(c)[i].as_py() for c in range(4))
-            if salt < 0:
-                continue
             data = piece.as_py()
             found = [xxhash.xxh3_128_intdigest(data[j : j + WINDOW]) for j in range(len(data) - WINDOW + 1)]
             n = len(found)
@@ -237,31 +239,31 @@ def _marks(runs: DataFrame) -> DataFrame:
     to several tasks may repeat across them: of its windows, one of each content
     and task is counted by its hash at a second meeting.
     """
-    ordered = runs.sortWithinPartitions("key", "salt")
+    ordered = runs.sortWithinPartitions("group", "rid", "at").select("group", "rid", "at", "piece")
     near = ordered.mapInArrow(_met, "rid long, at long, past long")
-    dealt = runs.mapInArrow(_windows, "key long, salt int, h1 long, h2 long, rid long, at long")
+    dealt = runs.select("key", "salt", "rid", "at", "piece").filter("salt >= 0").mapInArrow(_windows, "key long, salt int, h1 long, h2 long, rid long, at long")
     one = dealt.groupBy("key", "salt", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("x"))
     far = one.withColumn("parts", F.count("*").over(Window.partitionBy("key", "h1", "h2"))).filter((F.col("parts") > 1) & (F.col("n") == 1))
     return near.union(far.select("x.rid", "x.at", (F.col("x.at") + 1).alias("past")))
 
 
-def _remove(body: Column, tag: Column, copied: Column, told: Column, told_past: Column, keep: bool) -> Column:
+def _remove(body: Column, copied: Column, told: Column, told_past: Column, keep: bool) -> Column:
     @F.pandas_udf(_RESULT)
     def removed(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for bodies, tags, flags, firsts, pasts in parts:
+        for bodies, flags, firsts, pasts in parts:
             rows = []
-            for data, own, whole, first, past in zip(bodies, tags, flags, firsts, pasts, strict=True):
+            for data, whole, first, past in zip(bodies, flags, firsts, pasts, strict=True):
                 n = len(data)
                 if whole:
                     mask = np.full(n, n >= WINDOW)
                 else:
-                    mask = covered(own_marks(own, first), own_marks(own, past) - 1 + WINDOW, n)
+                    mask = covered(places(first), places(past) - 1 + WINDOW, n)
                 a, b = spans(mask)
                 kept = bytes(np.frombuffer(data, np.uint8)[~mask]) if len(a) else data
                 rows.append((n, int(mask.sum()), len(a), hashlib.sha256(kept).hexdigest(), kept if keep else None, a.tolist(), b.tolist()))
             yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "starts", "ends"])
 
-    return removed(body, tag, copied, told, told_past)
+    return removed(body, copied, told, told_past)
 
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
@@ -270,12 +272,15 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A byte is removed if a 200-byte string that covers it also starts anywhere
     else in the UTF-8 texts; matches never cross texts, and all are judged on the
     input.  Null and empty texts have no bytes; a repeated row is one more copy
-    of its text.  Other columns of ``docs`` are passed through.
+    of its text; null identifiers stay null, and their rows are judged by their
+    texts like any other.  Texts of any length are read whole; an empty table
+    gives no rows.  Other columns of ``docs`` are passed through, whatever they
+    are called.
     """
     fresh = {c: f"in_{i}" for i, c in enumerate(docs.columns)}  # so that no column clashes with the operator's own
     inner = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in fresh.items()))
     made = repeated(inner, byte_grams, _runs, _marks, fresh[id_col], fresh[text_col])
-    made = made.select(*fresh.values(), _remove(F.col("body"), F.col("tag"), F.col("copied"), F.col("told"), F.col("told_past"), keep).alias("removed"))
+    made = made.select(*fresh.values(), _remove(F.col("body"), F.col("copied"), F.col("told"), F.col("told_past"), keep).alias("removed"))
     return made.select(*(F.col(n).alias(c) for c, n in fresh.items()), "removed")
 
 

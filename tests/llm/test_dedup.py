@@ -4,7 +4,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import components as stars
@@ -62,11 +64,11 @@ def test_words_against_brute_force(docs, rows, monkeypatch, key_rows):
     assert found_words(docs) == want
 
 
-@pytest.mark.parametrize(("key_rows", "batch", "family"), [(2_000, 1 << 17, 1 << 20), (2, 700, 3000)])
-def test_bytes_against_brute_force(docs, rows, monkeypatch, key_rows, batch, family):
+@pytest.mark.parametrize(("key_rows", "batch", "group"), [(1_000, 1 << 15, 1_000), (2, 700, 20)])
+def test_bytes_against_brute_force(docs, rows, monkeypatch, key_rows, batch, group):
     monkeypatch.setattr(repeats, "KEY_ROWS", key_rows)
     monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", batch)
-    monkeypatch.setattr(suffix_dedup, "FAMILY_BYTES", family)
+    monkeypatch.setattr(suffix_dedup, "GROUP_RUNS", group)
     want = expected_bytes(rows)
     assert sum(w[2] for w in want) > 2000
     assert found_bytes(docs) == want
@@ -121,19 +123,78 @@ def test_sliding_least():
 def test_index_family_levels():
     rng = random.Random(5)
     pool = [bytes(rng.choice(b"ab\x00") for _ in range(203)) for _ in range(6)]
-    family, texts = IndexFamily(), []
-    for n in range(11):
+    family, texts, made = IndexFamily(), [], 0
+    for n in range(40):
         text = rng.choice(pool)[rng.randrange(3) :]
+        made += text not in texts
         texts.append(text)
-        k = len(text) - 199
-        family.add(np.frombuffer(text, np.uint8), np.arange(k), n * 1000 + np.arange(k), np.zeros(k, bool))
-        assert sum(x is not None for x in family.levels) == bin(n + 1).count("1")
+        family.add([(text, (n, 0))])
+        assert sum(x is not None for x in family.levels) == bin(made).count("1")
     counts = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
-    want = {n * 1000 + i for n, t in enumerate(texts) for i in range(len(t) - 199) if counts[t[i : i + 200]] > 1}
-    assert set(family.marked().tolist()) == want
+    want = {(n, i) for n, t in enumerate(texts) for i in range(len(t) - 199) if counts[t[i : i + 200]] > 1}
+    assert set(zip(*(x.tolist() for x in family.marked()), strict=True)) == want
     for level in family.levels:
         assert level is None or (level.rows[1:] >= level.rows[:-1]).all()
-    assert isinstance(family.levels[0], SuffixArray)
+    assert any(isinstance(x, SuffixArray) for x in family.levels) and family.by_batch == 0 < family.by_levels
+    assert len(IndexFamily().marked()[0]) == 0
+
+
+def test_most_marks_come_from_levels(spark, monkeypatch):
+    """Of the windows of the test tables' texts that get marked, most are found by scans of earlier documents' levels."""
+    seen = []
+    monkeypatch.setattr(suffix_dedup, "IndexFamily", lambda: seen.append(IndexFamily()) or seen[-1])
+    runs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    pieces = [(0, r.doc_id, 0, r.text.encode()) for r in sorted(runs) if r.text and len(r.text) > 250]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pieces, strict=True)], ["group", "rid", "at", "piece"])
+    found = pa.Table.from_batches(list(suffix_dedup._met(iter([batch])))).to_pylist()
+    counts = Counter(p[3][i : i + 200] for p in pieces for i in range(len(p[3]) - 199))
+    want = {(p[1], i) for p in pieces for i in range(len(p[3]) - 199) if counts[p[3][i : i + 200]] > 1}
+    assert {(r["rid"], i) for r in found for i in range(r["at"], r["past"])} == want
+    assert sum(f.by_levels for f in seen) > sum(f.by_batch for f in seen) > 0
+
+
+def test_long_runs_are_cut(spark, monkeypatch):
+    """Texts whose windows all have one key: of one byte, of a short period, and of lines with one beginning."""
+    keys = np.array([5, 5, 5, 5, 5, 7, 7, 5])
+    assert [x.tolist() for x in repeats.run_bounds(keys, 2)] == [[0, 2, 4, 5, 7], [2, 4, 5, 7, 8]]
+    assert [x.tolist() for x in repeats.run_bounds(keys, 9)] == [[0, 5, 7], [5, 7, 8]]
+    assert [len(x) for x in repeats.run_bounds(keys[:0], 9)] == [0, 0]
+    rng = random.Random(3)
+    lines = ["2024-01-01T00:00:00.000 INFO worker: " + "".join(rng.choice("xyz") for _ in range(40)) for _ in range(200)]
+    texts = ["a" * 5000, "ab" * 2000, "\n".join(lines), "\n".join(lines[20:60] + lines[:9]), " ".join(["w"] * 3000)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], "doc_id long, text string, " + OTHERS)
+    for key_rows in (1_000, 3):
+        monkeypatch.setattr(repeats, "KEY_ROWS", key_rows)
+        assert found_bytes(docs) == expected_bytes(rows)
+        assert found_words(docs) == expected_words(rows)
+
+
+def test_many_rows_without_identifiers(spark, corpus):
+    """They are judged as the same rows with identifiers are."""
+    texts = [t for _, t in corpus] * 3 + [f"{i} " + " ".join(f"w{i}_{j}" for j in range(40)) for i in range(1500)]
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    none = own.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    assert Counter(r[1:] for r in found_words(own)) == Counter(tuple(r)[1:] for r in dedup_words(none).select("doc_id", "removed.n_words", "removed.n_removed", "removed.kept_sha256").collect())
+    got = Counter(tuple(r)[1:] for r in dedup_bytes(none).select("doc_id", "removed.n_bytes", "removed.n_removed", "removed.n_spans", "removed.kept_sha256").collect())
+    assert Counter(r[1:] for r in found_bytes(own)) == got
+
+
+def test_texts_over_a_mebibyte(spark):
+    """One very long text, twice changed in the middle: what both have is removed, and a short text's share of it."""
+    rng = random.Random(9)
+    words = [f"{rng.randrange(10**6)}" for _ in range(200_000)]
+    a, b = " ".join(words), " ".join(words[:100_000] + ["new"] + words[100_001:])
+    short = " ".join(words[500:560])
+    assert len(a) > 1 << 20
+    docs = spark.createDataFrame([(1, a), (2, b), (3, short + " own end")], "doc_id long, text string")
+    got = {r.doc_id: r for r in dedup_words(docs, keep=False).select("doc_id", "removed.*").collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[3].n_removed) == (199_999, 199_999, 60)
+    assert list(got[1].starts) == [0, 100_001] and list(got[1].ends) == [100_000, 200_000]
+    at = len(" ".join(words[:100_000])) + 1
+    got = {r.doc_id: r for r in dedup_bytes(docs, keep=False).select("doc_id", "removed.*").collect()}
+    assert list(got[1].starts) == [0, at + len(words[100_000])] and list(got[1].ends) == [at, len(a)]
+    assert got[2].n_removed == got[1].n_removed and got[3].n_removed in (len(short), len(short) + 1)
 
 
 # n-gram join
