@@ -4,13 +4,17 @@ The lexicon holds the terms whose share of documents lies in a band, which is a
 band of inverse document frequency.  A document keeps its distinct lexicon
 terms, sorted; each of several random subsets of the lexicon picks some of them,
 and the hash of those picked, in order, is one value of the fingerprint.  The
-subsets are of several sizes, so that short and long documents both have some
-that pick a few terms.  Two fingerprints are as alike as the share of subsets
-with equal values, of those that pick anything in either document.
+subsets keep small parts of the lexicon, of several sizes, so that short and long
+documents both have some that pick a few terms: a text with a third replaced
+then still has subsets in common with what it was, which subsets that drop only
+a few terms wouldn't show.  One more value is the hash of all the text's distinct
+terms, which tells apart texts without lexicon terms.  Two fingerprints are as
+alike as the share of equal values, of those that pick anything in either document.
 
 A term in at least a share s of the documents is counted at least s * N times,
 so the lexicon has at most (mean distinct terms of a document) / s terms however
-many documents there are; this is why it may be sent to every task.
+many documents there are.  Up to LEXICON_SENT terms it is sent to the tasks as a
+set; a larger one is joined with the documents' terms instead.
 """
 
 from __future__ import annotations
@@ -20,15 +24,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import cut
+
 #: The band: least and most share of documents that a lexicon term occurs in.
 LEAST_SHARE, MOST_SHARE = 0.005, 0.1
-#: Documents with fewer lexicon terms than this keep all their terms.
-LEAST_TERMS = 6
+#: The most terms of a lexicon that is sent to the tasks (8 bytes each).
+LEXICON_SENT = 100_000
 #: Subsets of each size, and the sizes: one in so many terms (powers of 2), read from bits of the term's hash.
 SUBSETS, SIZES = 16, (16, 64, 256)
 #: Rows of a range of identifiers in which neighbours are found, and the most ranges.
 RANGE_ROWS, RANGES = 2_000, 4_096
-_NULL_ID = -(1 << 63)
+_LEAST = -(1 << 63)
 
 
 def terms_of(text: Column) -> Column:
@@ -39,22 +45,32 @@ def terms_of(text: Column) -> Column:
 
 @dataclass
 class Lexicon:
-    """Term hashes of the band."""
+    """Term hashes of the band: ``band`` (term), and the same as a list if they are few."""
 
-    hashes: list[int]
+    band: DataFrame
+    hashes: list[int] | None
 
-    def keep(self, terms: str) -> Column:
-        """The sorted lexicon terms of the column ``terms``; all its terms where those are few."""
+    def keep(self, df: DataFrame, keys: list[str], terms: str, name: str) -> DataFrame:
+        """``df`` with the sorted lexicon terms of the column ``terms``; ``keys`` tell rows with different terms apart."""
+        if self.hashes is None:
+            pairs = df.select(*keys, F.explode(terms).alias("term")).distinct()
+            kept = pairs.join(self.band, "term").groupBy(*keys).agg(F.array_sort(F.collect_list("term")).alias(name))
+            return df.join(kept, keys, "left").withColumn(name, F.coalesce(name, F.array().cast("array<bigint>")))
         if not self.hashes:
-            return F.array_sort(F.col(terms))
-        band = ", ".join(f"{h}L" if h != _NULL_ID else "shiftleft(1L, 63)" for h in self.hashes)
-        chosen = f"if(size(kept) >= {LEAST_TERMS}, kept, every)"
-        # an array of one element gives a value that is used twice a name
-        return F.expr(f"transform(array({terms}), every -> transform(array(filter(every, h -> h in ({band}))), kept -> array_sort({chosen}))[0])[0]")
+            return df.withColumn(name, F.array().cast("array<bigint>"))
+        band = ", ".join(f"{h}L" if h != _LEAST else "shiftleft(1L, 63)" for h in self.hashes)
+        return df.withColumn(name, F.expr(f"array_sort(filter({terms}, h -> h in ({band})))"))
+
+    def mark(self, df: DataFrame, keys: list[str], terms: str, name: str) -> DataFrame:
+        """``df`` with the fingerprint of the column ``terms`` in place of it: of all terms, then one value per subset, 0 where nothing is picked."""
+        made = self.keep(df, keys, terms, "__kept")
+        values = F.concat(F.array(value_of(F.array_sort(F.col(terms)))), subset_values(F.col("__kept")))
+        return made.withColumn(name, values).drop("__kept", terms)
 
-    def mark(self, terms: str) -> Column:
-        """The fingerprint of the column ``terms``: one value per subset, 0 where the subset picks nothing."""
-        return F.transform(F.array(self.keep(terms)), subset_values)[0]
+
+def value_of(picked: Column) -> Column:
+    """24 bits of the terms, never 0; 0 if there are none."""
+    return F.when(F.size(picked) > 0, F.pmod(F.xxhash64(picked), F.lit((1 << 24) - 1)) + 1).otherwise(0).cast("int")
 
 
 def _in_subset(bit: int, size: int, k: int):
@@ -65,15 +81,13 @@ def subset_values(terms: Column) -> Column:
     """The subsets' values of sorted term hashes."""
     found, bit = [], 0
     for size in SIZES:
-        for k in range(SUBSETS):
-            picked = F.filter(terms, _in_subset(bit, size, k))
-            found.append(F.when(F.size(picked) > 0, F.pmod(F.xxhash64(picked), F.lit((1 << 24) - 1)) + 1).otherwise(0))
+        found += [value_of(F.filter(terms, _in_subset(bit, size, k))) for k in range(SUBSETS)]
         bit += size.bit_length() - 1
     return F.array(*found)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Equal values over subsets that pick anything in either; two documents without terms are alike."""
+    """Equal values over those that pick anything in either; two documents without terms are alike."""
     pairs = F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), None).otherwise((x == y).cast("int")))
     seen = F.filter(pairs, lambda x: x.isNotNull())
     return F.when(F.size(seen) == 0, 1.0).otherwise(F.aggregate(seen, F.lit(0.0), lambda t, x: t + x) / F.size(seen))
@@ -84,36 +98,39 @@ def as_text(values: Column) -> Column:
 
 
 def fit_lexicon(texts: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> Lexicon:
-    """Count every term of every text (column ``text``), combined before the shuffle, and keep the band."""
+    """Count every term of every text (column ``text``), combined before the shuffle, and keep the band.
+
+    At most LEXICON_SENT + 1 terms reach the driver.
+    """
     n = texts.count()
-    if n == 0:
-        return Lexicon([])
     counts = texts.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").count()
-    band = counts.filter((F.col("count") >= least * n) & (F.col("count") <= most * n) & (F.col("count") > 1))
-    return Lexicon(sorted(r["term"] for r in band.select("term").collect()))
+    band = counts.filter((F.col("count") >= least * n) & (F.col("count") <= most * n) & (F.col("count") > 1)).select("term")
+    band = cut(band)
+    if band.count() > LEXICON_SENT:
+        return Lexicon(band, None)
+    return Lexicon(band, sorted(r["term"] for r in band.collect()))
 
 
 def predecessors(ids: DataFrame) -> DataFrame:
-    """For each row the one before it, in descending order of k (then ascending h), the last standing before the first.
+    """For each row the one before it in the order of (z, nk, h), the last standing before the first.
 
-    ``ids``: distinct (k, h, n).  Returns (k, h, pk, ph, pn).  Neighbours are found
-    in ranges of k, so no task gets all rows; what passes between ranges is one
-    row of each, RANGES + 1 at most.
+    ``ids``: distinct (z, nk, h, n).  Returns (z, nk, h) and those of the row
+    before as (pz, pnk, ph, pn).  Neighbours are found in ranges of that order
+    with about equal numbers of rows, wherever the identifiers lie, so no task
+    gets all rows; what passes between ranges is one row of each, RANGES at most.
     """
-    low, high, rows = ids.filter(F.col("k") > _NULL_ID).agg(F.min("k"), F.max("k"), F.count("*")).first()
-    ranges = min(RANGES, max(1, -(-rows // RANGE_ROWS)))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
-    place = F.when(F.col("k") == _NULL_ID, F.lit(-1)).otherwise(F.floor((F.col("k") - F.lit(low or 0)) / F.lit(width)).cast("int"))
-    placed = ids.withColumn("place", place)
-    own = F.struct(F.col("k").alias("k"), F.col("h").alias("h"), F.col("n").alias("n"))
-    inside = placed.withColumn("before", F.lag(own).over(Window.partitionBy("place").orderBy(F.desc("k"), F.asc("h"))))
-    lasts = placed.groupBy("place").agg(F.min(F.struct(F.col("k").alias("k"), F.bitwise_not("h").alias("g"), F.col("n").alias("n"))).alias("last"))
-    lasts = lasts.select("place", F.struct(F.col("last.k").alias("k"), F.bitwise_not("last.g").alias("h"), F.col("last.n").alias("n")).alias("last"))
-    across = Window.orderBy(F.desc("place"))
-    lowest = F.max_by("last", -F.col("place")).over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    carried = lasts.select("place", F.coalesce(F.lag("last").over(across), lowest).alias("carried"))
+    order = ["z", "nk", "h"]
+    ranges = min(RANGES, max(1, -(-ids.count() // RANGE_ROWS)))
+    # written, as ranges are bounded by a sample that another run of the plan may draw anew
+    placed = cut(ids.repartitionByRange(ranges, *order).withColumn("place", F.spark_partition_id()))
+    own = F.struct("z", "nk", "h", "n")
+    inside = placed.withColumn("before", F.lag(own).over(Window.partitionBy("place").orderBy(*order)))
+    lasts = placed.groupBy("place").agg(F.max(own).alias("last"))
+    across = Window.orderBy("place")
+    final = F.max("last").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    carried = lasts.select("place", F.coalesce(F.lag("last").over(across), final).alias("carried"))
     met = inside.join(F.broadcast(carried), "place").withColumn("p", F.coalesce("before", "carried"))
-    return met.select("k", "h", F.col("p.k").alias("pk"), F.col("p.h").alias("ph"), F.col("p.n").alias("pn"))
+    return met.select(*order, F.col("p.z").alias("pz"), F.col("p.nk").alias("pnk"), F.col("p.h").alias("ph"), F.col("p.n").alias("pn"))
 
 
 def edited_likeness(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
@@ -124,30 +141,31 @@ def edited_likeness(docs: DataFrame, least: float = LEAST_SHARE, most: float = M
     replaced by as many of the first of the next document (all, if it has
     fewer), documents in descending order of doc_id and the first after the last.
 
-    Null texts count as empty.  Rows equal in identifier and text are one
-    document among the neighbours and give a row each; other rows with one
-    identifier stand in the order of their texts' hashes; null identifiers come last.
+    Null texts count as empty; texts of any length are read whole.  Rows equal in
+    identifier and text are one document among the neighbours and give a row
+    each; other rows with one identifier stand in the order of their texts'
+    hashes; null identifiers come last.  Any long is an identifier.  A single
+    document is its own next one; an empty table gives no rows.  Other columns
+    are never read.
     """
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("k"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    # z: whether the identifier is null; nk: its bits turned over, so that ascending is descending
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select(doc_id.isNull().alias("z"), F.bitwise_not(F.coalesce(doc_id, F.lit(0).cast("long"))).alias("nk"), F.xxhash64(text).alias("h"), text.alias("text"))
     lexicon = fit_lexicon(keyed.select("text"), least, most)
-    keyed = keyed.select("k", F.xxhash64("text").alias("h"), "text")
-    ids = keyed.select("k", "h", F.char_length("text").cast("long").alias("n")).distinct()
-    pairs = predecessors(ids)
-
-    met = keyed.join(pairs.hint("shuffle_hash"), ["k", "h"])
-    sent = met.select("pk", "ph", F.expr("substring(text, 1, cast(pn div 3 as int))").alias("head"), terms_of(F.col("text")).alias("terms"))
-    sent = sent.select(F.col("pk").alias("k"), F.col("ph").alias("h"), "head", lexicon.mark("terms").alias("next_mark")).dropDuplicates(["k", "h"])
-
-    both = keyed.join(sent.hint("shuffle_hash"), ["k", "h"])
+    keys = ["z", "nk", "h"]
+    pairs = predecessors(keyed.select(*keys, F.char_length("text").cast("long").alias("n")).distinct())
+
+    # one exchange of the texts with their fingerprints, which both joins below read
+    dealt = lexicon.mark(keyed.withColumn("terms", terms_of(F.col("text"))), keys, "terms", "mark").select(*keys, "text", "mark").repartition(*keys)
+    met = dealt.join(pairs.hint("shuffle_hash"), keys)
+    sent = met.select(F.col("pz").alias("z"), F.col("pnk").alias("nk"), F.col("ph").alias("h"), F.expr("substring(text, 1, cast(pn div 3 as int))").alias("head"), F.col("mark").alias("next_mark"))
+    both = dealt.join(sent.dropDuplicates(keys).hint("shuffle_hash"), keys)
     edited = F.expr("concat(substring(text, 1, cast(char_length(text) - char_length(text) div 3 as int)), head)")
-    made = both.select("k", "text", edited.alias("edited"), "next_mark")
-    made = made.select(
-        "k", "next_mark", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        terms_of(F.col("text")).alias("terms"), terms_of(F.col("edited")).alias("edited_terms"),
-    )
-    made = made.select("k", "n_chars", "edited_sha256", "next_mark", lexicon.mark("terms").alias("mark"), lexicon.mark("edited_terms").alias("edited_mark"))
+    made = both.select(*keys, F.char_length("text").cast("long").alias("n_chars"), "mark", "next_mark", edited.alias("edited"))
+    made = made.select(*keys, "n_chars", "mark", "next_mark", F.sha2("edited", 256).alias("edited_sha256"), terms_of(F.col("edited")).alias("terms"))
+    made = lexicon.mark(made, keys, "terms", "edited_mark")
     return made.select(
-        F.when(F.col("k") != _NULL_ID, F.col("k")).alias("doc_id"), "n_chars", "edited_sha256",
+        F.when(~F.col("z"), F.bitwise_not("nk")).alias("doc_id"), "n_chars", "edited_sha256",
         as_text(F.col("mark")).alias("fingerprint"), as_text(F.col("edited_mark")).alias("edited_fingerprint"),
         likeness(F.col("mark"), F.col("edited_mark")).alias("near_edited"), likeness(F.col("mark"), F.col("next_mark")).alias("near_next"),
     )

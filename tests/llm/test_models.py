@@ -1,9 +1,11 @@
 import hashlib
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from millrace.llm import arrow, imatch, quality
@@ -173,46 +175,101 @@ def test_training_separates():
     assert quality.train([], []).bias == 0
 
 
-def brute_marks(rows):
-    order = sorted(rows, key=lambda r: -r[0])
+def spark_hash(values):
+    """Spark's xxhash64 of an array of longs, as a signed long."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True), h)
+    return h - (h >> 63 << 64)
+
+
+def plain_terms(text):
+    return {(h := xxhash.xxh64_intdigest(w, 42)) - (h >> 63 << 64) for w in re.findall(rb"[^\x20\x09-\x0D]+", text.lower().encode())}
+
+
+def plain_values(terms, lexicon):
+    """A fingerprint by its definition: all terms, then each subset of the lexicon's."""
+
+    def value(picked):
+        return spark_hash(sorted(picked)) % (2**24 - 1) + 1 if picked else 0
+
+    out, bit = [value(terms)], 0
+    for size in (16, 64, 256):
+        out += [value([t for t in terms & lexicon if (t >> bit) % size == k]) for k in range(16)]
+        bit += size.bit_length() - 1
+    return out
+
+
+def plain_likeness(a, b):
+    seen = [x == y for x, y in zip(a, b, strict=True) if x or y]
+    return sum(seen) / len(seen) if seen else 1.0
+
+
+def brute_rows(rows, least, most):
+    """The whole result from its definition; identifiers are distinct but for rows that repeat whole."""
+    counts = Counter(t for _, text in rows for t in plain_terms(text or ""))
+    lexicon = {t for t, n in counts.items() if least * len(rows) <= n <= most * len(rows) and n > 1}
+    order = sorted(dict(rows).items(), key=lambda r: -r[0])
     out = {}
     for (i, t), (_, n) in zip(order, [*order[1:], order[0]], strict=True):
         t, n = t or "", n or ""
         cut = len(t) // 3
-        out[i] = (len(t), hashlib.sha256((t[: len(t) - cut] + n[:cut]).encode()).hexdigest())
+        edited = t[: len(t) - cut] + n[:cut]
+        a, b, c = (plain_values(plain_terms(x), lexicon) for x in (t, edited, n))
+        out[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{v:06X}" for v in a), "".join(f"{v:06X}" for v in b), pytest.approx(plain_likeness(a, b)), pytest.approx(plain_likeness(a, c)))
     return out
 
 
-def test_fingerprints(docs, corpus, monkeypatch):
+@pytest.mark.parametrize("sent", [100_000, 3])
+def test_fingerprints(docs, rows, corpus, monkeypatch, sent):
     monkeypatch.setattr(imatch, "RANGE_ROWS", 7)
+    monkeypatch.setattr(imatch, "LEXICON_SENT", sent)
     found = imatch.edited_likeness(docs, 0.01, 0.5).collect()
-    want = brute_marks(corpus)
-    assert len(found) == len(corpus) + 1 and {r.doc_id: (r.n_chars, r.edited_sha256) for r in found} == want
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in found)
+    assert len(found) == len(rows) and {r.doc_id: tuple(r)[1:] for r in found} == brute_rows(rows, 0.01, 0.5)
     by_text = {}
     for i, t in corpus:
         by_text.setdefault(t or "", set()).add(next(r.fingerprint for r in found if r.doc_id == i))
     assert all(len(v) == 1 for v in by_text.values())
-    long = [r for r in found if r.n_chars > 150]
-    assert np.mean([r.near_edited for r in long]) > np.mean([r.near_next for r in long])
-
-
-def test_fingerprint_by_hand(spark):
-    df = spark.createDataFrame([(sorted(range(-40, 400, 7)),)], "t array<long>")
-    got = df.select(imatch.subset_values(df.t).alias("v")).first().v
-    assert len(got) == imatch.SUBSETS * len(imatch.SIZES)
-    bit = 0
-    for s, size in enumerate(imatch.SIZES):
-        for k in range(imatch.SUBSETS):
-            picked = [h for h in range(-40, 400, 7) if (h >> bit) & (size - 1) == k]
-            assert (got[imatch.SUBSETS * s + k] > 0) == bool(picked)
-        bit += size.bit_length() - 1
+
+
+def test_fingerprints_of_the_tables(spark):
+    """Edited texts are more alike than neighbours, by the production parameters."""
+    found = imatch.edited_likeness(spark.read.parquet(f"{SF}/documents.parquet")).select("near_edited", "near_next").collect()
+    edited, following = (np.array([r[k] for r in found]) for k in (0, 1))
+    assert np.mean(edited[:, None] > following) + np.mean(edited[:, None] == following) / 2 > 0.95
+
+
+def test_far_apart_and_null_identifiers(spark):
+    """Any long is an identifier, null is none of them, and their places don't matter to the ranges."""
+    ids = [-(1 << 63), 1 - (1 << 63), -9 * 10**18, -1, 0, 1, 9 * 10**18, (1 << 63) - 1]
+    rows = [(i, f"text{k} of words " * (k + 1)) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame([*rows, (None, "abcdef"), (None, "ghijkl"), (None, "abcdef")], "doc_id long, text string").repartition(3)
+    found = imatch.edited_likeness(docs).collect()
+    assert len(found) == 11
+    digests = {r.doc_id: r.edited_sha256 for r in found if r.doc_id is not None}
+    order = sorted(rows, reverse=True)
+    nulls = sorted(("abcdef", "ghijkl"), key=lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64))
+    for (i, t), (_, n) in zip(order, [*order[1:], (None, nulls[0])], strict=True):
+        cut = len(t) // 3
+        assert digests[i] == hashlib.sha256((t[: len(t) - cut] + n[:cut]).encode()).hexdigest()
+    want = [nulls[0][:4] + nulls[1][:2], nulls[1][:4] + order[0][1][:2]]
+    assert {r.edited_sha256 for r in found if r.doc_id is None} == {hashlib.sha256(x.encode()).hexdigest() for x in want}
+
+
+def test_long_texts_are_read_whole(spark):
+    text = " ".join(f"w{i % 5000}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "w1 w2")], "doc_id long, text string")
+    found = {r.doc_id: r for r in imatch.edited_likeness(docs, 0.5, 0.9).collect()}
+    assert len(text) > 1 << 20 and found[1].n_chars == len(text)
+    assert found[2].edited_sha256 == hashlib.sha256((text + " end")[: len(text) + 4 - (len(text) + 4) // 3].encode() + text[: (len(text) + 4) // 3].encode()).hexdigest()
+    assert found[2].near_next > 0.9
 
 
 def test_lexicon_band(spark):
     texts = spark.createDataFrame([(f"all {'half' if i % 2 else 'other'} own{i} ALL",) for i in range(10)], "text string")
     hashes = dict(spark.sql("select w, xxhash64(w) from values ('all'), ('half'), ('other'), ('own1') t(w)").collect())
-    assert imatch.fit_lexicon(texts, 0.2, 0.6).hashes == sorted((hashes["half"], hashes["other"]))
+    made = imatch.fit_lexicon(texts, 0.2, 0.6)
+    assert made.hashes == sorted((hashes["half"], hashes["other"])) == sorted(r.term for r in made.band.collect())
     assert imatch.fit_lexicon(texts.filter("false")).hashes == []
 
 
