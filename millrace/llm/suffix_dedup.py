@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.repeats import RUN_WINDOWS, covered, fresh_rows, places, repeated, run_bounds, salts, sliding_least, spans
+from millrace.llm.shared import cut
 from millrace.llm.shingles import mixed, rolled
 
 #: Bytes of a window, and of the grams whose least hash is its key.
@@ -143,6 +145,18 @@ class IndexFamily:
             self.levels.append(None)
         self.levels[k] = new
 
+    def different(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """One of each different window: its bytes, rid and at, and whether it occurs once."""
+        levels = [x for x in self.levels if x is not None]
+        if not levels:
+            return np.zeros(0, f"S{WINDOW}"), *(np.zeros(0, k) for k in (np.int64, np.int64, bool))
+        whole = reduce(lambda a, b: a.merge(b), levels)
+        first = np.concatenate(([True], whole.rows[1:] != whole.rows[:-1]))
+        which, step = whole.owners[first] >> 32, whole.owners[first] & ((1 << 32) - 1)
+        counts = np.fromiter(map(len, self.places), np.int64, len(self.places))
+        place = np.array([x[0] for x in self.places], np.int64).reshape(-1, 2)[which]
+        return whole.rows[first], place[:, 0], place[:, 1] + step, ~whole.again[first] & (counts[which] == 1)
+
     def marked(self) -> tuple[np.ndarray, np.ndarray]:
         """(rid, at) of the windows that occur again."""
         counts = np.fromiter(map(len, self.places), np.int64, len(self.places))
@@ -200,51 +214,51 @@ def _spans_of(rid: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 
 def _met(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs sorted by group, then by document -> (rid, at, past): spans of starts of repeated windows."""
-    names = ["rid", "at", "past"]
-    family, last, waiting, held = IndexFamily(), None, [], 0
+    """Runs sorted by group, then by document -> (rid, at, past): spans of starts of repeated windows.
+
+    For the parts of a key that is dealt out, also one row (rid, at, h1, h2, alone)
+    for each different window: 128 bits of it, and whether it stands there once.
+    """
+    kinds = pa.schema([("rid", pa.int64()), ("at", pa.int64()), ("past", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("alone", pa.bool_())])
+
+    def close(family: IndexFamily, part: bool) -> Iterator[pa.RecordBatch]:
+        spans_ = _spans_of(*family.marked())
+        yield pa.RecordBatch.from_arrays([*map(pa.array, spans_), *(pa.nulls(len(spans_[0]), k) for k in kinds.types[3:])], schema=kinds)
+        if part:
+            rows, rid, at, alone = family.different()
+            for i in range(0, len(rows), PIECES):
+                h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, rows[i : i + PIECES].tolist())), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(rid[i : i + PIECES]), pa.array(at[i : i + PIECES]), pa.nulls(len(h), pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(alone[i : i + PIECES])], schema=kinds)
+
+    family, last, part, waiting, held = IndexFamily(), None, False, [], 0
     for batch in it:
-        group, rid, at = (c.to_pylist() for c in batch.columns[:3])
-        for i, piece in enumerate(batch.column(3).to_pylist()):
-            if group[i] != last or held >= BATCH_BYTES:
+        group, salt, rid, at = (c.to_pylist() for c in batch.columns[:4])
+        for i, piece in enumerate(batch.column(4).to_pylist()):
+            now = group[i], salt[i] >= 0
+            if now != (last, part) or held >= BATCH_BYTES:
                 family.add(waiting)
                 waiting, held = [], 0
-            if group[i] != last:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _spans_of(*family.marked())], names)
-                family, last = IndexFamily(), group[i]
+            if now != (last, part):
+                yield from close(family, part)
+                family, (last, part) = IndexFamily(), now
             waiting.append((piece, (rid[i], at[i])))
             held += len(piece)
     family.add(waiting)
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in _spans_of(*family.marked())], names)
-
-
-def _windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of keys that are dealt out -> (key, salt, h1, h2, rid, at): their windows with 128 bits of each."""
-    for batch in it:
-        for i, piece in enumerate(batch.column(4)):
-            key, salt, rid, at = (batch.column(c)[i].as_py() for c in range(4))
-            data = piece.as_py()
-            found = [xxhash.xxh3_128_intdigest(data[j : j + WINDOW]) for j in range(len(data) - WINDOW + 1)]
-            n = len(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([key] * n), pa.array([salt] * n, pa.int32()), pa.array([(h >> 64) - (1 << 63) for h in found]), pa.array([(h & ((1 << 64) - 1)) - (1 << 63) for h in found]), pa.array([rid] * n), pa.array(range(at, at + n), pa.int64())],
-                ["key", "salt", "h1", "h2", "rid", "at"],
-            )
+    yield from close(family, part)
 
 
 def _marks(runs: DataFrame) -> DataFrame:
     """(rid, at, past) of repeated windows.
 
-    What meets in a task is judged by its suffix arrays.  A key that is dealt out
-    to several tasks may repeat across them: of its windows, one of each content
-    and task is counted by its hash at a second meeting.
+    What meets in a group is judged by its suffix arrays.  A key that is dealt out
+    to several groups may repeat across them: of its windows, one of each content
+    and group is counted by its hash at a second meeting.
     """
-    ordered = runs.sortWithinPartitions("group", "rid", "at").select("group", "rid", "at", "piece")
-    near = ordered.mapInArrow(_met, "rid long, at long, past long")
-    dealt = runs.select("key", "salt", "rid", "at", "piece").filter("salt >= 0").mapInArrow(_windows, "key long, salt int, h1 long, h2 long, rid long, at long")
-    one = dealt.groupBy("key", "salt", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("x"))
-    far = one.withColumn("parts", F.count("*").over(Window.partitionBy("key", "h1", "h2"))).filter((F.col("parts") > 1) & (F.col("n") == 1))
-    return near.union(far.select("x.rid", "x.at", (F.col("x.at") + 1).alias("past")))
+    ordered = runs.select("group", "salt", "rid", "at", "piece").sortWithinPartitions("group", "salt", "rid", "at")
+    made = cut(ordered.mapInArrow(_met, "rid long, at long, past long, h1 long, h2 long, alone boolean"))
+    parts = made.filter(F.col("h1").isNotNull()).withColumn("parts", F.count("*").over(Window.partitionBy("h1", "h2")))
+    far = parts.filter((F.col("parts") > 1) & F.col("alone")).select("rid", "at", (F.col("at") + 1).alias("past"))
+    return made.filter(F.col("past").isNotNull()).select("rid", "at", "past").union(far)
 
 
 def _remove(body: Column, copied: Column, told: Column, told_past: Column, keep: bool) -> Column:

@@ -144,11 +144,11 @@ def test_most_marks_come_from_levels(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(suffix_dedup, "IndexFamily", lambda: seen.append(IndexFamily()) or seen[-1])
     runs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
-    pieces = [(0, r.doc_id, 0, r.text.encode()) for r in sorted(runs) if r.text and len(r.text) > 250]
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pieces, strict=True)], ["group", "rid", "at", "piece"])
+    pieces = [(0, -1, r.doc_id, 0, r.text.encode()) for r in sorted(runs) if r.text and len(r.text) > 250]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pieces, strict=True)], ["group", "salt", "rid", "at", "piece"])
     found = pa.Table.from_batches(list(suffix_dedup._met(iter([batch])))).to_pylist()
-    counts = Counter(p[3][i : i + 200] for p in pieces for i in range(len(p[3]) - 199))
-    want = {(p[1], i) for p in pieces for i in range(len(p[3]) - 199) if counts[p[3][i : i + 200]] > 1}
+    counts = Counter(p[4][i : i + 200] for p in pieces for i in range(len(p[4]) - 199))
+    want = {(p[2], i) for p in pieces for i in range(len(p[4]) - 199) if counts[p[4][i : i + 200]] > 1}
     assert {(r["rid"], i) for r in found for i in range(r["at"], r["past"])} == want
     assert sum(f.by_levels for f in seen) > sum(f.by_batch for f in seen) > 0
 
