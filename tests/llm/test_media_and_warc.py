@@ -47,22 +47,118 @@ def lzw_encode(data, bits):
 def test_lzw_round_trips(bits, n):
     rng = np.random.default_rng(n)
     for data in (rng.integers(0, 1 << bits, n, np.uint8), (np.arange(n) // 7 % (1 << bits)).astype(np.uint8), np.zeros(n, np.uint8)):
-        assert np.array_equal(g.lzw_decode(lzw_encode(data.tobytes(), bits), bits, n), data)
+        stream = lzw_encode(data.tobytes(), bits)
+        assert np.array_equal(g.lzw_decode(stream, bits, n), data)
+        again = g.pack_codes([g.lzw_codes(data.tobytes(), bits)], bits)[0]
+        both = g.lzw_decode_all([(stream, bits, n), (again, bits, n), (again, bits, 5), (again[:40], bits, n), (b"", bits, n)])
+        assert np.array_equal(both[0], data) and np.array_equal(both[1], data) and np.array_equal(both[2], data[:5])
+        assert np.array_equal(both[3], data[: len(both[3])]) and len(both[4]) == 0
+        assert plain_lzw(again, bits) == data.tolist()
 
 
 def test_lzw_errors():
     with pytest.raises(ValueError):
         g.lzw_decode((258 | 300 << 9).to_bytes(3, "little"), 8, 9)
     assert len(g.lzw_decode(b"", 8, 9)) == 0
+    bad = g.pack_codes([[256, 65, 300, 257]])[0]
+    for decode in (lambda: g.lzw_decode(bad, 8, 9), lambda: g.lzw_decode_all([(bad, 8, 9)])):
+        with pytest.raises(ValueError):
+            decode()
 
 
-@pytest.mark.parametrize("n", [576, 1152, 576 * 40])
-def test_gif_round_trip(n):
-    data = np.random.default_rng(n).integers(0, 256, n, np.uint8).tobytes()
-    gif = g.decode_gif(g.encode_gif(data))
-    assert b"".join(f.indices.tobytes() for f in gif.frames) == data
+def plain_lzw(data, bits):
+    """A second decoder: bit by bit, strings as tuples."""
+    flow = "".join(f"{b:08b}"[::-1] for b in data)
+    clear, at, width, table, last, out = 1 << bits, 0, bits + 1, {}, None, []
+    while at + width <= len(flow):
+        code = int(flow[at : at + width][::-1], 2)
+        at += width
+        if code == clear + 1:
+            break
+        if code == clear:
+            table, width, last = {i: (i,) for i in range(clear)}, bits + 1, None
+            continue
+        now = table[code] if code in table else (*last, last[0])
+        out += now
+        if last is not None and len(table) + 2 < 4096:
+            table[len(table) + 2] = (*last, now[0])
+            if len(table) + 2 == 1 << width and width < 12:
+                width += 1
+        last = now
+    return out
+
+
+def plain_pictures(media):
+    """A second reader of what the writer makes: lists of rows of palette indices, one per frame, with the delays."""
+    side = media[6] | media[7] << 8
+    assert media[:6] == b"GIF89a" and media[10] == 0xF7 and media[-1] == 0x3B
+    at, canvas, out = 13 + 768, [[None] * side for _ in range(side)], []
+    assert media[at : at + 14] == b"\x21\xff\x0bNETSCAPE2.0"
+    at += 19
+    while media[at] != 0x3B:
+        assert media[at : at + 3] == b"\x21\xf9\x04"
+        packed, delay, hidden = media[at + 3], media[at + 4] | media[at + 5] << 8, media[at + 6]
+        assert packed >> 2 == 1 and media[at + 8] == 0x2C
+        left, top, wide, high = (media[at + i] | media[at + i + 1] << 8 for i in (9, 11, 13, 15))
+        bits, at, body = media[at + 18], at + 19, b""
+        while media[at]:
+            body += media[at + 1 : at + 1 + media[at]]
+            at += 1 + media[at]
+        at += 1
+        found = plain_lzw(body, bits)
+        assert len(found) == wide * high
+        for i, v in enumerate(found):
+            if not (packed & 1 and v == hidden):
+                canvas[top + i // wide][left + i % wide] = v
+        out.append(([list(r) for r in canvas], delay))
+    return out
+
+
+def pictures(media):
+    gif = g.decode_gif(media)
+    return [p.copy() for _, p in g.compose(gif)], gif
+
+
+def samples(kind, n):
+    rng = np.random.default_rng(n)
+    if kind == "noise":
+        return rng.integers(0, 256, n, np.uint8).tobytes()
+    if kind == "text":
+        return (b"the same words come again and again, but not all of them. " * (n // 50 + 1))[:n]
+    return b"".join(bytes([3]) * 570 + bytes([7, i % 200, 9, 9, 9, 9]) for i in range(n // 576))
+
+
+@pytest.mark.parametrize("kind", ["noise", "text", "still"])
+@pytest.mark.parametrize("n", [576, 1152, 576 * 300])
+def test_gif_round_trip(kind, n):
+    data = samples(kind, n)
+    media = g.encode_gif(data)
+    shown, gif = pictures(media)
+    assert b"".join(p[..., 0].tobytes() for p in shown) == data
+    assert all(np.array_equal(p[..., 1], p[..., 0] ^ (p[..., 0] >> 1)) and np.array_equal(p[..., 2], 255 - p[..., 0]) and (p[..., 3] == 255).all() for p in shown)
     assert [f.time for f in gif.frames] == [4 * i for i in range(n // 576)]
-    assert all(np.array_equal(p[..., 0].reshape(-1), f.indices.reshape(-1)) for p, f in zip(g.compose(gif), gif.frames, strict=True))
+    if n < 10_000 or kind == "still":
+        second = plain_pictures(media)
+        assert bytes(v for rows, _ in second for r in rows for v in r) == data and {d for _, d in second} == {4}
+    if kind == "text" and n > 576:
+        assert len(media) - 800 < 0.8 * n  # strings are coded, not letters; 800: palette and headers
+    if kind == "still" and n > 576:
+        assert all(f.transparent is not None and f.width * f.height < 576 for f in gif.frames[1:2])
+
+
+def test_large_frames_fill_the_table():
+    data = np.random.default_rng(1).integers(0, 9, 128 * 128 * 2, np.uint8).tobytes()
+    media = g.encode_gif(data, 128)
+    shown, gif = pictures(media)
+    assert b"".join(p[..., 0].tobytes() for p in shown) == data and len(gif.frames) == 2
+    codes = g.lzw_codes(data[: 128 * 128])
+    assert codes.count(256) > 1 and codes[-1] == 257
+    assert plain_lzw(g.pack_codes([codes])[0], 8) == list(data[: 128 * 128])
+    with pytest.raises(ValueError):
+        g.encode_gif(data, 100)
+
+
+def test_odd_files():
     with pytest.raises(ValueError):
         g.encode_gif(b"abc")
     with pytest.raises(ValueError):
@@ -83,7 +179,7 @@ def hand_made(frames, size=(4, 4)):
 def test_disposal_transparency_and_interlace():
     full = [1] * 16
     gif = g.decode_gif(hand_made([(0, 0, 4, 4, 1, None, False, full), (1, 1, 2, 2, 3, 0, False, [0, 2, 2, 0]), (0, 0, 1, 1, 2, None, False, [3]), (3, 3, 1, 1, 0, None, False, [2])]))
-    a, b, c, d = g.compose(gif)
+    a, b, c, d = (p.copy() for _, p in g.compose(gif))
     assert (a[..., 0] == 255).all() and [f.time for f in gif.frames] == [0, 10, 20, 30]
     assert b[1, 1].tolist() == [255, 0, 0, 255] and b[1, 2].tolist() == [0, 255, 0, 255]
     assert c[1, 2].tolist() == [255, 0, 0, 255] and c[0, 0].tolist() == [0, 0, 255, 255]
@@ -104,10 +200,28 @@ def test_gif_query(docs, rows, no_docs, clashing):
         pay = g.payload_of(body)
         assert len(pay) % 576 == 0 and len(pay) >= max(576, len(body))
         assert r[:4] == (len(body), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-32:]))
-        assert r[4] == len(g.encode_gif(pay)) and r[5] == hashlib.sha256(g.encode_gif(pay)).hexdigest()
+        media = g.encode_gif(pay)
+        assert r[4] == len(media) and r[5] == hashlib.sha256(media).hexdigest()
+        second = plain_pictures(media)
+        assert bytes(v for rows_, _ in second for x in rows_ for v in x) == pay
+        values = np.frombuffer(pay, np.uint8)
+        frames = values.reshape(-1, 576).astype(int)
+        change = np.abs(np.diff(frames, axis=0)).mean() if len(frames) > 1 else 0
+        shares = [int(1000 * ((values >> 4) == k).sum() / len(pay) + 0.5) for k in range(16)]
+        assert r[6] == f"frames={len(frames)};s={len(frames) * 4 / 100:.2f};mean={frames.mean():.3f};change={change:.3f};hist={','.join(map(str, shares))}"
+        assert list(r[7]) == [4 * k for k in range(len(frames))]
+        for found_, channel in zip(r[8:11], (values, values ^ (values >> 1), 255 - values), strict=True):
+            assert list(found_) == np.bincount(channel >> 4, minlength=16).tolist()
     assert len(found) == len(rows) and g.gif_features(no_docs).collect() == [] and g.gif_features(clashing).count() == 4
     one = g.gif_frames(docs).filter("doc_id = %d" % rows[0][0]).first()
-    assert one.times == [0] and sum(one.histograms[0]) == 576
+    assert one.times[0] == 0 and sum(one.histograms[0]) == 3 * 576 and len(one.times) == len(one.histograms)
+
+
+def test_long_texts_as_gif(spark):
+    text = " ".join(f"w{i * 7919 % 100_003}" for i in range(200_000))
+    r = g.gif_features(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
+    pay = g.payload_of(text.encode())
+    assert len(text) > 1 << 20 and {x[1:6] for x in map(tuple, r)} == {(len(text), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-32:]), r[0].media_bytes)}
 
 
 RECORD = "record_id long, kind string, url string, captured long, status int, headers map<string,string>, payload_digest string, payload_bytes long, canonical string"
