@@ -2,7 +2,9 @@
 
 A rolling hash over the last bytes of a text decides where chunks end, so a
 passage that several documents share is cut alike in each of them.  A chunk is
-encoded once per Python worker and reused (the memo of chunks is bounded).
+encoded once per Python worker and reused (the memo of chunks is bounded); to
+share chunks between workers, all text and all ids would have to be shuffled,
+which costs more than encoding them.
 Chunk ends may fall inside a word, so each join is repaired: the last words
 before it and the first words after it are encoded as one string, and the ids
 of the word across the join are taken from there once the ids of the words on
@@ -21,8 +23,9 @@ from millrace.llm.arrow import blocks, id_and_bytes, map_docs, worker_memo
 from millrace.llm.vocabulary import WordIds, default_vocabulary, tokenizer
 
 #: Bytes that the rolling hash sees; mean and least bytes of a chunk.
-ROLL_BYTES, MEAN_CHUNK, LEAST_CHUNK = 16, 1024, 64
-#: No chunk ends inside a run without white space that is longer than this.
+ROLL_BYTES, MEAN_CHUNK, LEAST_CHUNK = 16, 256, 32
+#: No chunk ends inside a run without white space that is longer than this: a word's ids depend on the whole of it,
+#: so a join inside it could be repaired only by encoding the run again.
 LONG_RUN = 1024
 #: Bytes of text that the chunk memo of a worker holds before it is emptied.
 CHUNK_MEMO_BYTES = 8 << 20
@@ -143,7 +146,9 @@ def chunk_codec(path: str) -> ChunkCodec:
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>, decoded string): the ids of each text and the text decoded from them.
 
-    Null texts count as empty and have no ids; null identifiers stay null.
+    Null texts count as empty and have no ids; null identifiers stay null; texts
+    of any length are encoded whole; repeated rows give repeated results; an
+    empty table gives none.  Other columns are never read.
     """
     path = vocabulary or default_vocabulary()
 
@@ -158,7 +163,8 @@ def codec_digests(docs: DataFrame, vocabulary: str | None = None, id_col: str =
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): as encode_documents, digests in place of the ids and texts.
 
     One pass without a shuffle.  Null or empty texts have 0 tokens and the
-    digests of nothing; repeated rows give repeated results.
+    digests of nothing; repeated rows give repeated results; null identifiers
+    stay null; an empty table gives no rows.
     """
     path = vocabulary or default_vocabulary()
 

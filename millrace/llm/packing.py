@@ -10,16 +10,20 @@ squares of the counts, over the partly filled levels, ends up least:
 
 Ties go to the fullest level.  Documents longer than a sequence are cut into
 whole sequences and a rest.  Each task packs the documents that it reads, so
-nothing is shuffled; at its end the sequences still open are cut and refilled
-in order, so a task leaves one sequence with padding at most.  A sequence
-identifier holds the task's partition in its upper bits; a task that is run
-again gives the same ones, since it reads the same split in the same order.
+nothing is shuffled.  At its end the level array is settled: the fullest open
+sequence takes the largest pieces that fit from the emptiest ones, and a part of
+a piece only where no whole one fits, until one open sequence is left.  So a task
+leaves one sequence with padding at most, and most pieces stay where the sum of
+squares put them.  A sequence identifier holds the task's partition in its upper
+bits; a task that is run again gives the same ones, since it reads the same split
+in the same order.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right, insort
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +46,7 @@ class SumOfSquares:
         self.capacity = capacity
         self.counts = np.zeros(capacity + 1, np.int64)  # counts[0] and counts[capacity] stay 0
         self.level: list[list[list]] = [[] for _ in range(capacity + 1)]
+        self.moved = 0
 
     def choose(self, size: int) -> int:
         """The level to put a piece of ``size`` tokens on; 0 is a new sequence."""
@@ -67,17 +72,61 @@ class SumOfSquares:
         self.counts[h + size] += 1
         return None
 
-    def rest(self) -> Iterator[list]:
-        """The open sequences, fullest first; they are open no more."""
-        for h in range(self.capacity - 1, 0, -1):
-            yield from self.level[h]
-            self.level[h] = []
-        self.counts[:] = 0
-
+    def settle(self, size_of: Callable[[tuple], int], split: Callable[[tuple, int], tuple[tuple, tuple]]) -> Iterator[list]:
+        """The open sequences, filled from the emptiest of them; all but the last are full.  They are open no more.
 
-def pack_pieces(documents: Iterator[tuple[int | None, bytes]], capacity: int, first_id: int) -> Iterator[list[tuple]]:
+        ``split`` cuts a piece into one of so many tokens and the rest.  ``moved``
+        counts the tokens that changed their sequence.
+        """
+        order = [x for h in range(self.capacity - 1, 0, -1) for x in self.level[h]]  # fullest first
+        self.level = [[] for _ in self.level]
+        self.counts[:] = 0
+        loose: list[tuple[int, int, tuple]] = []  # pieces of the emptiest sequences that were dissolved, by size
+        tie = 0
+        at, past = 0, len(order)
+        while at < past:
+            sequence = order[at]
+            at += 1
+            room = self.capacity - sum(map(size_of, sequence))
+            while room:
+                if not loose or loose[0][0] > room and at < past and sum(x[0] for x in loose) < 2 * self.capacity:
+                    if at == past:
+                        break
+                    past -= 1
+                    for piece in order[past]:
+                        insort(loose, (size_of(piece), tie, piece))
+                        tie += 1
+                    continue
+                k = bisect_right(loose, room, key=lambda x: x[0]) - 1
+                if k >= 0:
+                    size, _, piece = loose.pop(k)
+                else:
+                    _, _, whole = loose.pop()
+                    piece, left = split(whole, room)
+                    insort(loose, (size_of(left), tie, left))
+                    size, tie = room, tie + 1
+                sequence.append(piece)
+                room -= size
+                self.moved += size
+            yield sequence
+        while loose:  # the sequences that were dissolved last
+            sequence, room = [], self.capacity
+            while room and loose:
+                k = bisect_right(loose, room, key=lambda x: x[0]) - 1
+                size, _, piece = loose.pop(k)
+                if size > room:
+                    piece, left = split(piece, room)
+                    insort(loose, (size_of(left), tie, left))
+                    size, tie = room, tie + 1
+                sequence.append(piece)
+                room -= size
+                self.moved += size
+            yield sequence
+
+
+def pack_pieces(documents: Iterator[tuple[int | None, bytes]], capacity: int, first_id: int, packer: SumOfSquares | None = None) -> Iterator[list[tuple]]:
     """Sequences of (doc_id, start, ids, doc_tokens, sequence_id, offset) rows from (doc_id, ids) pairs, ids as bytes."""
-    packer, wide = SumOfSquares(capacity), 4 * capacity
+    packer, wide = packer or SumOfSquares(capacity), 4 * capacity
     number = first_id
 
     def lay(pieces: list[tuple]) -> list[tuple]:
@@ -96,27 +145,22 @@ def pack_pieces(documents: Iterator[tuple[int | None, bytes]], capacity: int, fi
             full = packer.place(len(piece) // 4, (doc_id, at // 4, piece, total))
             if full is not None:
                 yield lay(full)
-    line: list[tuple] = []
-    filled = 0
-    for sequence in packer.rest():
-        for doc_id, start, ids, total in sequence:
-            while ids:
-                part = ids[: wide - filled]
-                line.append((doc_id, start, part, total))
-                filled, start, ids = filled + len(part), start + len(part) // 4, ids[len(part) :]
-                if filled == wide:
-                    yield lay(line)
-                    line, filled = [], 0
-    if line:
-        yield lay(line)
+
+    def split(piece: tuple, tokens: int) -> tuple[tuple, tuple]:
+        doc_id, start, ids, total = piece
+        return (doc_id, start, ids[: 4 * tokens], total), (doc_id, start + tokens, ids[4 * tokens :], total)
+
+    for sequence in packer.settle(lambda piece: len(piece[2]) // 4, split):
+        yield lay(sequence)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, end_id: int = 1, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), and ``ids`` if asked for.
 
     A document is the ids of its text and then ``end_id``, so an empty or null
-    text is one id and nothing is lost.  Repeated rows are packed each.  An
-    empty table gives no sequences.
+    text is one id and nothing is lost; a text of any length is packed whole.
+    Repeated rows are packed each, rows without an identifier with a null one.
+    An empty table gives no sequences.  Other columns are never read.
     """
     path = vocabulary or default_vocabulary()
     end = np.array([end_id], "<u4").tobytes()

@@ -193,7 +193,7 @@ def test_gif_query(docs, rows, no_docs, clashing):
     found = g.gif_features(docs).collect()
     by = {}
     for r in found:
-        by.setdefault(r.doc_id, set()).add(tuple(r)[1:])
+        by.setdefault(r.doc_id, set()).add(tuple(tuple(v) if isinstance(v, list) else v for v in r)[1:])
     for i, t in rows:
         (r,) = by[i]
         body = (t or "").encode()

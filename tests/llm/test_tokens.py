@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -157,3 +158,63 @@ def test_pieces_of_long_documents():
     made = list(pack_pieces(iter([(1, bytes(4 * 100)), (2, bytes(4 * 7)), (3, bytes(4))]), 16, 5))
     assert sorted(n for s in made for n in {p[4] for p in s}) == list(range(5, 5 + len(made)))
     assert sum(len(p[2]) for s in made for p in s) == 4 * 108 and sum(sum(len(p[2]) for p in s) < 64 for s in made) <= 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 70), max_size=60))
+def test_settling_keeps_all_and_pads_once(sizes):
+    packer = SumOfSquares(24)
+    made = list(pack_pieces(((k, bytes([k % 251]) * 4 * n) for k, n in enumerate(sizes)), 24, 0, packer))
+    fills = [sum(len(p[2]) // 4 for p in s) for s in made]
+    assert sum(fills) == sum(sizes) and sum(f < 24 for f in fills) <= 1 and max(fills, default=0) <= 24
+    spans = defaultdict(list)
+    for s in made:
+        for k, start, ids, total, _, _ in s:
+            assert set(ids) <= {k % 251} and total == sizes[k] and ids
+            spans[k].append((start, len(ids) // 4))
+    for k, n in enumerate(sizes):
+        at = 0
+        for start, length in sorted(spans[k]):
+            assert start == at
+            at += length
+        assert at == n
+    assert not any(packer.level) and not packer.counts.any()
+
+
+def test_most_tokens_stay_where_the_sum_of_squares_put_them():
+    """With the test tables' sizes, few tokens move when a task's open sequences are settled."""
+    table = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["n_chars"]).column(0).to_pylist()
+    for rows, most in ((1000, 0.3), (8000, 0.08)):
+        packer = SumOfSquares(2048)
+        documents = [(k, bytes(4 * (n // 5 + 1))) for k, n in enumerate(table[:rows])]
+        made = list(pack_pieces(iter(documents), 2048, 0, packer))
+        assert packer.moved < most * sum(len(ids) // 4 for _, ids in documents)
+        assert sum(len(s) for s in made) < rows + 2.2 * len(made)
+
+
+def test_shared_chunks_are_encoded_once(codec):
+    """Of the test tables' texts: a chunk that any earlier document held isn't encoded again."""
+    texts = [t.encode() for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    fresh, seen, again = ChunkCodec(default_vocabulary()), set(), 0
+    for text in texts:
+        at = 0
+        for end in chunk_ends(text):
+            again += text[at:end] in seen
+            seen.add(text[at:end])
+            at = end
+        assert np.frombuffer(fresh.encode(text), "<u4").tolist() == library(text.decode())
+    assert fresh.reused == again > 0.05 * fresh.made == 0.05 * len(seen)
+
+
+def test_long_texts(spark, docs):
+    """Texts and words over a mebibyte in every one-pass operator of tokens."""
+    rng = np.random.default_rng(4)
+    words = " ".join(f"w{v}" for v in rng.integers(0, 3000, 250_000))
+    one = "".join(map(chr, rng.integers(97, 105, 60_000)))
+    assert len(words) > 1 << 20
+    table = spark.createDataFrame([(1, words), (2, one), (None, one)], "doc_id long, text string")
+    want = {1: library(words), 2: library(one), None: library(one)}
+    assert {r.doc_id: r.n_tokens for r in token_counts(table).collect()} == {k: len(v) for k, v in want.items()}
+    assert {r.doc_id: r.ids_sha256 for r in codec_digests(table).collect()} == {k: hashlib.sha256(np.array(v, "<u4").tobytes()).hexdigest() for k, v in want.items()}
+    packed = pack_documents(table).collect()
+    assert sum(r.length for r in packed) == sum(len(v) + 1 for v in want.values()) and max(r.offset + r.length for r in packed) == 2048
