@@ -34,11 +34,15 @@ from millrace.llm.shingles import hashed, mixed, rolled
 
 SHINGLE = 5
 #: A shingle is ordered last if it is in at least so many texts, as a share of the documents and as a count.
-HOT_SHARE, HOT_LEAST = 1 / 1000, 128
+HOT_SHARE, HOT_LEAST = 1 / 4000, 128
 #: Places of a shingle in a set, and sizes, share a long: size * PLACES + place.
 PLACES = 1 << 31
-#: Bits of the table of candidate identifiers that lets the last pass skip other texts; its size is fixed.
-CANDIDATE_BUCKETS, BUCKET_BITS = 512, 32_768
+#: Candidates up to which a table of bits (so many for each, rounded up) lets the last pass skip other texts; with more, they are joined.
+TABLE_CANDIDATES, CANDIDATE_BITS = 8_000_000, 16
+#: Bits of a part of that table.
+BUCKET_BITS = 32_768
+#: Rows at a meeting place that are tried against all others there in one task, in the second round.
+PAIR_ROWS = 5_000
 #: Shingles that a task counts at once.
 FOLD = 1_000_000
 _EMPTY = np.zeros(0, np.uint64)
@@ -174,30 +178,39 @@ def _pair_filter(w1: str, w2: str) -> Column:
     return (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (9 * F.least(n1 - i1, n2 - i2) >= 4 * (n1 + n2))
 
 
-def _candidate_table(ids: DataFrame) -> np.ndarray:
-    """A bit table of fixed size with the bits of all ``id`` set."""
-    place = F.pmod(F.xxhash64("id"), F.lit(CANDIDATE_BUCKETS * BUCKET_BITS))
+def _candidate_table(ids: DataFrame, buckets: int) -> np.ndarray:
+    """A table of ``buckets`` parts with the bits of all ``id`` set."""
+    place = F.pmod(F.xxhash64("id"), F.lit(buckets * BUCKET_BITS).cast("long"))
     bits = ids.select(place.alias("x")).select(F.expr(f"x div {BUCKET_BITS}").alias("bucket"), F.expr(f"x % {BUCKET_BITS}").alias("bit"))
     rows = bits.groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap")).collect()
-    table = np.zeros((CANDIDATE_BUCKETS, BUCKET_BITS // 8), np.uint8)
+    table = np.zeros((buckets, BUCKET_BITS // 8), np.uint8)
     for r in rows:
         got = np.frombuffer(bytes(r["bitmap"]), np.uint8)
         table[r["bucket"], : len(got)] = got
     return table.reshape(-1)
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, items): the whole sets of at least the documents in ``ids``; most other texts are skipped before they are split."""
-    table = _candidate_table(ids)
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, items): the whole sets of at least the documents in ``pairs`` (a, b); most other texts are skipped before they are split.
+
+    The table of bits is as large as the candidates need (16 MB at most); if they
+    are too many for one, the texts are joined with them.
+    """
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    n = 2 * pairs.count()
     kinds = pa.schema([("id", pa.int64()), ("items", pa.list_(pa.int64()))])
-    placed = docs.select("doc_id", "body", F.pmod(F.xxhash64("doc_id"), F.lit(CANDIDATE_BUCKETS * BUCKET_BITS)).alias("x"))
+    if n > TABLE_CANDIDATES:
+        sent, bits = None, 1
+        docs = docs.join(ids.distinct(), docs.doc_id == ids.id, "left_semi")
+    else:
+        bits = max(1, -(-CANDIDATE_BITS * n // BUCKET_BITS)) * BUCKET_BITS
+        sent = docs.sparkSession.sparkContext.broadcast(_candidate_table(ids, bits // BUCKET_BITS))
+    placed = docs.select("doc_id", "body", F.pmod(F.xxhash64("doc_id"), F.lit(bits).cast("long")).alias("x"))
 
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
         for batch in it:
             x = batch.column(2).to_numpy()
-            wanted = np.flatnonzero((bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1)
+            wanted = np.arange(len(x)) if sent is None else np.flatnonzero((sent.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1)
             for at in range(0, len(wanted), 2000):
                 part = wanted[at : at + 2000].tolist()
                 yield _batch([batch.column(0).take(part), _lists([shingle_set(batch.column(1)[i].as_py()) for i in part])], kinds)
@@ -223,7 +236,7 @@ def _linked(pairs: DataFrame, signed: DataFrame, docs: DataFrame, repeats: bool)
     known = signed.select("doc_id", "n", "sketch")
     met = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x")), "a").join(known.select(F.col("doc_id").alias("b"), "n", F.col("sketch").alias("y")), "b")
     pairs = cut(met.select("a", "b", "m", "x", "n", "y").mapInArrow(_near, "a long, b long").distinct())
-    sets = _sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
+    sets = _sets_of(docs, pairs)
     if repeats:
         sets = sets.distinct()
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
@@ -247,8 +260,8 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with fewer than 5 words is one shingle, if it has words; null, empty and blank
     texts are linked with nothing.  component_id is the least doc_id that links
     reach, null if they reach none.  Rows with one identifier count as linked;
-    those with a null one are linked by their texts only.  An empty table gives no
-    rows.
+    those with a null one are linked by their texts only.  Texts of any length are
+    read whole; other columns are never read; an empty table gives no rows.
     """
     # a row without an identifier goes by a hash of its text, and so together with exact copies only
     texts = id_and_bytes(docs, id_col, text_col).select(F.coalesce("doc_id", F.xxhash64("body")).alias("doc_id"), "body", F.col("doc_id").isNotNull().alias("named"))
@@ -292,9 +305,12 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     split = bounds.filter("lo <> hi").select("group")
     inside = rooted.join(split, "group").select(F.col("group").alias("token"), "id", "root", (F.col("n") * F.lit(PLACES)).alias("w"), F.lit(True).alias("inner"))
     rest = cut(open_.unionByName(inside))
-    left = rest.select("token", "inner", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("w").alias("w1"))
-    right = rest.select(F.col("token").alias("token2"), F.col("inner").alias("inner2"), F.col("id").alias("b"), F.col("root").alias("rb"), F.col("w").alias("w2"))
-    across = left.join(right, (F.col("token") == F.col("token2")) & (F.col("inner") == F.col("inner2")) & (F.col("ra") < F.col("rb")) & _pair_filter("w1", "w2"))
+    # a place where very many meet is dealt out: each row of one side goes to one part, each of the other to all
+    parts = rest.groupBy("token", "inner").agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("parts"))
+    rest = rest.join(parts, ["token", "inner"])
+    left = rest.select("token", "inner", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.col("id").alias("a"), F.col("root").alias("ra"), F.col("w").alias("w1"))
+    right = rest.select("token", "inner", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"), F.col("root").alias("rb"), F.col("w").alias("w2"))
+    across = left.join(right, ["token", "inner", "part"]).filter((F.col("ra") < F.col("rb")) & _pair_filter("w1", "w2"))
     second = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = cut(second.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     final = components(links.unionByName(_linked(second, once, texts, nulls)))

@@ -197,6 +197,22 @@ def test_texts_over_a_mebibyte(spark):
     assert got[2].n_removed == got[1].n_removed and got[3].n_removed in (len(short), len(short) + 1)
 
 
+def test_one_identifier_with_several_texts(spark):
+    """Of rows under one identifier, copies and near copies go, other texts stay; which row stays doesn't depend on the order."""
+    near = [f"n{i}" for i in range(80)]
+    far = " ".join(f"f{i}" for i in range(30))
+    rows = [(5, " ".join(near)), (5, " ".join([*near[:-1], "end"])), (5, far), (5, far), (5, None), (6, " ".join([*near[1:], "more"])), (7, far + " and much more that is said only here " * 3), (8, "alone")]
+    for seed in range(2):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame([(i, t, f"l{k}") for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string").repartition(2)
+        kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+        assert Counter(i for i, _ in kept) == Counter({5: 3, 7: 1, 8: 1})
+        assert {far, None} < {t for i, t in kept if i == 5}
+        if seed:
+            assert sorted(kept, key=str) == first
+        first = sorted(kept, key=str)
+
+
 # n-gram join
 
 
@@ -225,6 +241,9 @@ def brute_components(rows):
 
 @pytest.mark.parametrize("hot", [64, 2])
 def test_join_against_brute_force(docs, rows, monkeypatch, hot):
+    if hot == 2:  # every way for many candidates and crowded places as well
+        monkeypatch.setattr(ngram_join, "TABLE_CANDIDATES", 3)
+        monkeypatch.setattr(ngram_join, "PAIR_ROWS", 2)
     monkeypatch.setattr(ngram_join, "HOT_LEAST", hot)
     monkeypatch.setattr(ngram_join, "HOT_SHARE", 0)
     want = brute_components(rows)
@@ -249,6 +268,27 @@ def test_chains_of_near_copies(spark, monkeypatch, hot):
     assert sorted(map(tuple, shingle_components(docs).collect())) == brute_components(rows)
 
 
+def test_crowded_places(spark, monkeypatch):
+    """Texts with one common beginning and no link: their places are dealt out; those of two clusters among them are found."""
+    monkeypatch.setattr(ngram_join, "PAIR_ROWS", 7)
+    monkeypatch.setattr(ngram_join, "HOT_LEAST", 10_000)
+    common = " ".join(f"c{i}" for i in range(40))
+    rows = [(i, common + " " + " ".join(f"u{i}_{j}" for j in range(25))) for i in range(60)]
+    rows += [(100 + i, common + " " + " ".join(f"v{j}" for j in range(40)) + f" e{i}") for i in range(12)]
+    rng = random.Random(1)
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, shingle_components(docs).collect())) == brute_components(rows)
+
+
+def test_join_of_long_texts(spark):
+    words = [f"w{i}" for i in range(200_000)]
+    a, b, c = " ".join(words), " ".join([*words[:150_000], "x", *words[150_000:]]), " ".join(words[:120_000])
+    assert len(a) > 1 << 20
+    docs = spark.createDataFrame([(3, a), (2, b), (1, c)], "doc_id long, text string")
+    assert sorted(map(tuple, shingle_components(docs).collect())) == [(1, 119_996, 1), (2, 199_997, 2), (3, 199_996, 2)]
+
+
 def test_join_odd_tables(no_docs, clashing):
     assert shingle_components(no_docs).collect() == []
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in shingle_components(clashing).collect()}
