@@ -54,17 +54,17 @@ class Lexicon:
         """``df`` with the sorted lexicon terms of the column ``terms``; ``keys`` tell rows with different terms apart."""
         if self.hashes is None:
             pairs = df.select(*keys, F.explode(terms).alias("term")).distinct()
-            kept = pairs.join(self.band, "term").groupBy(*keys).agg(F.array_sort(F.collect_list("term")).alias(name))
+            kept = pairs.join(self.band, "term").groupBy(*keys).agg(F.sort_array(F.collect_list("term")).alias(name))
             return df.join(kept, keys, "left").withColumn(name, F.coalesce(name, F.array().cast("array<bigint>")))
         if not self.hashes:
             return df.withColumn(name, F.array().cast("array<bigint>"))
         band = ", ".join(f"{h}L" if h != _LEAST else "shiftleft(1L, 63)" for h in self.hashes)
-        return df.withColumn(name, F.expr(f"array_sort(filter({terms}, h -> h in ({band})))"))
+        return df.withColumn(name, F.expr(f"sort_array(filter({terms}, h -> h in ({band})))"))
 
     def mark(self, df: DataFrame, keys: list[str], terms: str, name: str) -> DataFrame:
         """``df`` with the fingerprint of the column ``terms`` in place of it: of all terms, then one value per subset, 0 where nothing is picked."""
         made = self.keep(df, keys, terms, "__kept")
-        values = F.concat(F.array(value_of(F.array_sort(F.col(terms)))), subset_values(F.col("__kept")))
+        values = F.concat(F.array(value_of(F.sort_array(F.col(terms)))), subset_values(F.col("__kept")))
         return made.withColumn(name, values).drop("__kept", terms)
 
 
