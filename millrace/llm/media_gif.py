@@ -84,27 +84,30 @@ def code_widths(bits: int) -> np.ndarray:
 def lzw_codes(data: bytes, bits: int = 8) -> list[int]:
     """The LZW codes of some indices: a clear code, codes of the longest strings in the table, and an end code.
 
-    The table is a tree: a node maps the next index to a string's code and node.
+    The table is a list by the code of a string: which index after it makes which longer string's code.
     """
     clear = 1 << bits
-    codes, roots, size = [clear], {}, clear + 2
-    prefix, node = data[0], {}
-    roots[prefix] = node
+    codes, size = [clear], clear + 2
+    add = codes.append
+    longer: list[dict[int, int] | None] = [None] * min(MOST_CODES + 1, size + len(data))
+    prefix, after = data[0], None
     for b in data[1:]:
-        longer = node.get(b)
-        if longer is not None:
-            prefix, node = longer
-            continue
-        codes.append(prefix)
-        if size < MOST_CODES:
-            node[b] = size, {}
-            size += 1
+        if after is not None:
+            if b in after:
+                prefix = after[b]
+                after = longer[prefix]
+                continue
+            after[b] = size
         else:
-            codes.append(clear)
-            roots, size = {}, clear + 2
-        prefix, node = b, roots.get(b)
-        if node is None:
-            node = roots[b] = {}
+            longer[prefix] = {b: size}
+        add(prefix)
+        size += 1
+        if size > MOST_CODES:
+            add(clear)
+            size = clear + 2
+            longer = [None] * (MOST_CODES + 1)
+        prefix = b
+        after = longer[b]
     return [*codes, prefix, clear + 1]
 
 
