@@ -39,7 +39,8 @@ KEPT_FIELDS = [
 RECORD_SCHEMA = "record_id string, kind string, url string, captured long, status int, headers map<string,string>, payload binary"
 
 
-def _header_block(lines: list[bytes]) -> dict[str, str]:
+def _header_block(lines: list[bytes], joined: bool = False) -> dict[str, str]:
+    """Fields by lower-case name; of a repeated one the last value, or all if ``joined``: after commas, cookies on lines of their own."""
     found: dict[str, str] = {}
     last = ""
     for line in lines:
@@ -49,7 +50,8 @@ def _header_block(lines: list[bytes]) -> dict[str, str]:
         elif ":" in text:
             name, _, value = text.partition(":")
             last = name.strip().lower()
-            found[last] = value.strip()
+            earlier = found[last] + ("\n" if last == "set-cookie" else ", ") if joined and last in found else ""
+            found[last] = earlier + value.strip()
     return found
 
 
@@ -76,7 +78,7 @@ def parse_warc(data: bytes) -> Iterator[dict]:
             top, _, payload = block.partition(b"\r\n\r\n")
             lines = top.split(b"\r\n")
             words = lines[0].split()
-            status, fields = int(words[1]) if len(words) > 1 and words[1].isdigit() else None, _header_block(lines[1:])
+            status, fields = int(words[1]) if len(words) > 1 and words[1].isdigit() else None, _header_block(lines[1:], joined=True)
         yield {"record_id": head.get("warc-record-id"), "kind": head.get("warc-type"), "url": head.get("warc-target-uri"), "date": head.get("warc-date"), "status": status, "headers": fields, "payload": payload}
 
 
@@ -86,7 +88,7 @@ def write_warc(records: list[dict]) -> bytes:
     for r in records:
         block = r["payload"] or b""
         if r.get("status") is not None:
-            fields = "".join(f"{k}: {v}\r\n" for k, v in (r["headers"] or {}).items())
+            fields = "".join(f"{k}: {line}\r\n" for k, v in (r["headers"] or {}).items() for line in v.split("\n"))
             block = f"HTTP/1.1 {r['status']} -\r\n{fields}\r\n".encode() + block
         kind = "application/http; msgtype=response" if r.get("status") is not None else "application/octet-stream"
         head = f"WARC/1.1\r\nWARC-Type: {r['kind']}\r\nWARC-Record-ID: {r['record_id']}\r\nWARC-Target-URI: {r['url']}\r\nWARC-Date: {r['date']}\r\nContent-Type: {kind}\r\nContent-Length: {len(block)}\r\n\r\n"

@@ -298,3 +298,13 @@ def test_warc_files(spark, tmp_path):
     (tmp_path / "x.warc.gz").write_bytes(data)
     read = {r.record_id: r for r in w.read_warc(spark, str(tmp_path)).collect()}
     assert read["<1>"].captured == 1577836800 and read["<1>"].payload == records[0]["payload"] and read["<2>"].status is None
+
+
+def test_repeated_fields():
+    lines = b"Vary: a\r\nSet-Cookie: x=1; Expires=Thu, 01 Jan\r\nvary: b,\r\n c\r\nSet-Cookie: y=2\r\n"
+    http = b"HTTP/1.1 200 OK\r\n" + lines + b"\r\nbody"
+    data = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(http), http)
+    found = list(w.parse_warc(data))
+    assert [f["headers"] for f in found] == [{"vary": "a, b, c", "set-cookie": "x=1; Expires=Thu, 01 Jan\ny=2"}]
+    again = list(w.parse_warc(w.write_warc([f | {"record_id": "<1>", "url": "http://a/", "date": "2020-01-01T00:00:00Z"} for f in found])))
+    assert [f["headers"] for f in again] == [f["headers"] for f in found] and again[0]["payload"] == b"body"
